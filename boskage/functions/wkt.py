@@ -71,7 +71,7 @@ def ring_moments(xy: np.ndarray) -> tuple[float, float, float]:
 def location(text: str) -> tuple[float, float, int] | None:
     """x, y and SRID of one WKT text."""
     m = HEAD.match(text)
-    if not m or not m[3]:
+    if not m or not m[3] or re.search(r"[A-DF-Z]", m[3], re.I) or m[3].count("(") != m[3].count(")"):
         return None
     srid, kind, body = int(m[1] or 2154), m[2].upper(), m[3]
     try:
