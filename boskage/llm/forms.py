@@ -40,11 +40,11 @@ _OTHER = {ord(c): " " for c in BLANKS} | {ord(a): b for a, b in WIDE.items() if
 OTHER = re.compile(f"[{re.escape(''.join(map(chr, _OTHER)))}]")
 _WIDE = {ord(a): b for a, b in WIDE.items()}
 _LETTERS = {ord(a): b for a, b in LOOK_ALIKES.items()}
-#: Letters that the table form may change, composed or not.
-_CHANGED = "".join(sorted(set(LOOK_ALIKES) | {c for c in map(chr, range(0x370, 0x530)) if unicodedata.normalize("NFD", c)[0] in LOOK_ALIKES}))
+#: Greek and Cyrillic letters: tokens with any of them may have a known spelling.
+_FOREIGN = "Ͱ-ԯ"
 #: Characters whose canonical composition differs from themselves (singletons such as the kelvin sign, and excluded compositions).
 _SINGLETONS = "".join(c for c in map(chr, range(0x340, 0x3000)) if unicodedata.normalize("NFC", c) != c)
-SUSPECT = re.compile(f"[{re.escape(INVISIBLE)}{BLANKS}{MARKS}{re.escape(''.join(WIDE))}{_CHANGED}{re.escape(_SINGLETONS)}ᄀ-ᇿ]")
+SUSPECT = re.compile(f"[{re.escape(INVISIBLE)}{BLANKS}{MARKS}{re.escape(''.join(WIDE))}{_FOREIGN}{re.escape(_SINGLETONS)}ᄀ-ᇿ]")
 _IN_TOKEN = rf"[\w{MARKS}{re.escape(INVISIBLE)}]"
 #: A whole token that isn't ASCII.
 TOKEN = re.compile(rf"(?<!{_IN_TOKEN})[0-9A-Za-z_]*(?![\x00-\x7f]){_IN_TOKEN}{_IN_TOKEN}*")
