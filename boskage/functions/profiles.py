@@ -73,15 +73,40 @@ def profile(x: Column, dataset: str, cls: str, kind: str) -> Column:
     return (FUNCTIONS[name](x, **args) + classes) / 2
 
 
-def profile_of(x: Column, dataset: Column, cls: Column, kind: str) -> Column:
-    """The profile that a row's source and class select; 0 for combinations without one."""
-    found = F.lit(0.0)
+def _table(kind: str) -> Column:
+    """A literal map from source and class to the parameters of their profile."""
+    spread = 0 if kind == "spatial" else 1
+    entries = []
     for d, classes in COMPOSITION.items():
-        inner = F.lit(0.0)
-        for c in classes:
-            inner = F.when(cls == c, profile(x, d, c, kind)).otherwise(inner)
-        found = F.when(dataset == d, inner).otherwise(found)
-    return found
+        name, args = SOURCE_PROFILES[d][kind]
+        p, q = (float(v) for v in args.values())
+        for c, mix in classes.items():
+            shares = F.array(*[F.struct(F.lit(s).alias("share"), F.lit(float(CLASS_SPREAD[f][spread])).alias("std")) for f, s in mix.items()])
+            entries += [F.lit(f"{d}|{c}"), F.struct(F.lit(name).alias("name"), F.lit(p).alias("p"), F.lit(q).alias("q"), shares.alias("mix"))]
+    return F.create_map(*entries)
+
+
+def profile_of(x: Column, dataset: Column, cls: Column, kind: str) -> Column:
+    """The profile that a row's source and class select; 0 for combinations without one.
+
+    The parameters come from a literal map, so the expression stays small however many
+    sources and classes there are.
+    """
+
+    def value(m: Column) -> Column:
+        name, p, q = m["name"], m["p"], m["q"]
+        z = x - p
+        own = (
+            F.when(name == "step", F.when(x.between(p, q), 1.0).otherwise(0.0))
+            .when(name == "gaussian", F.exp(-0.5 * (z / q) * (z / q)))
+            .when(name == "offset_gaussian", F.when(x <= p, 1.0).otherwise(F.exp(-(z * z) / (q * q / 2))))
+            .when(name == "weighting_function", F.when(x <= p, 1.0).otherwise(F.exp(-F.ln(F.lit(2.0)) * z / q)))
+        )
+        mix = F.aggregate(m["mix"], F.lit(0.0), lambda acc, s: acc + s["share"] * F.exp(-0.5 * (x / s["std"]) * (x / s["std"])))
+        return (own + mix) / 2
+
+    # one lookup per row, bound to a variable so the map appears once in the expression
+    return F.coalesce(F.transform(F.array(_table(kind)[F.concat(dataset, F.lit("|"), cls)]), value)[0], F.lit(0.0))
 
 
 def pair_weight(x: Column, dataset_a: Column, class_a: Column, dataset_b: Column, class_b: Column, kind: str) -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from boskage.plans import preparation
+from boskage.plans import analysis_queries, preparation, relational_queries
 
-MODULES = [preparation]
+MODULES = [preparation, relational_queries, analysis_queries]
 
 
 def queries() -> dict:
