@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -73,17 +74,19 @@ def profile(x: Column, dataset: str, cls: str, kind: str) -> Column:
     return (FUNCTIONS[name](x, **args) + classes) / 2
 
 
+_PARAMETERS = "map<string,struct<name:string,p:double,q:double,mix:array<struct<share:double,std:double>>>>"
+
+
 def _table(kind: str) -> Column:
-    """A literal map from source and class to the parameters of their profile."""
+    """A constant map from source and class to the parameters of their profile, folded once by the optimizer."""
     spread = 0 if kind == "spatial" else 1
-    entries = []
+    entries = {}
     for d, classes in COMPOSITION.items():
         name, args = SOURCE_PROFILES[d][kind]
         p, q = (float(v) for v in args.values())
         for c, mix in classes.items():
-            shares = F.array(*[F.struct(F.lit(s).alias("share"), F.lit(float(CLASS_SPREAD[f][spread])).alias("std")) for f, s in mix.items()])
-            entries += [F.lit(f"{d}|{c}"), F.struct(F.lit(name).alias("name"), F.lit(p).alias("p"), F.lit(q).alias("q"), shares.alias("mix"))]
-    return F.create_map(*entries)
+            entries[f"{d}|{c}"] = {"name": name, "p": p, "q": q, "mix": [{"share": s, "std": float(CLASS_SPREAD[f][spread])} for f, s in mix.items()]}
+    return F.from_json(F.lit(json.dumps(entries)), _PARAMETERS)
 
 
 def profile_of(x: Column, dataset: Column, cls: Column, kind: str) -> Column:

@@ -65,10 +65,14 @@ def louvain_kernel(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, reso
     """Community of each vertex 0..n-1; vertices are visited in order, so results repeat.
 
     ``total`` is the weight of all edges of the whole graph: a community never leaves its
-    component, so components may be worked on apart with the graph's total.
+    component, so components may be worked on apart with the graph's total.  Edges of a
+    vertex to itself are weight within it.
     """
     member = np.arange(n)
     loops = np.zeros(n)
+    own_loop = src == dst
+    np.add.at(loops, src[own_loop], w[own_loop])
+    src, dst, w = src[~own_loop], dst[~own_loop], w[~own_loop]
     while True:
         around: list[dict[int, float]] = [{} for _ in range(n)]
         for a, b, x in zip(src.tolist(), dst.tolist(), w.tolist()):
@@ -107,12 +111,57 @@ def louvain_kernel(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, reso
         src, dst, w = own_ids[src[~inner]], own_ids[dst[~inner]], w[~inner]
 
 
-def louvain(edges: DataFrame, vertices: DataFrame | None = None, resolution: float = 1.0) -> DataFrame:
-    """(uid, community): the smallest member names the community; vertices without edges are their own."""
+def parallel_moves(edges: DataFrame, total: float, resolution: float, rounds: int = 10) -> DataFrame:
+    """(uid, community) after rounds in which all vertices weigh moving at once.
+
+    In each round a vertex may move to the neighbouring community of greatest gain; which
+    half of the vertices may move is drawn by a hash, so that neighbours don't swap for ever.
+    Links are aggregated per vertex and community before they are compared; no vertex's
+    neighbourhood and no community is gathered in one row.
+    """
+    ends = edges.where("src != dst")
+    both = stable(ends.select(F.col("src").alias("u"), F.col("dst").alias("v"), "weight").unionByName(ends.select(F.col("dst").alias("u"), F.col("src").alias("v"), "weight")))
+    loops = edges.where("src = dst").select(F.col("src").alias("u"), (2 * F.col("weight")).alias("weight"))
+    state = stable(both.select("u", "weight").unionByName(loops).groupBy("u").agg(F.sum("weight").alias("k")).select("u", F.col("u").alias("c"), "k"))
+    still = 0
+    for r in range(rounds):
+        volume = state.groupBy("c").agg(F.sum("k").alias("volume"))
+        links = both.join(state.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("weight").alias("w"))
+        own = state.select("u", F.col("c").alias("home"), "k")
+        at_home = own.select("u", F.col("home").alias("c"), F.lit(0.0).alias("w"))
+        options = links.unionByName(at_home).groupBy("u", "c").agg(F.sum("w").alias("w")).join(own, "u").join(volume, "c")
+        rest = F.col("volume") - F.when(F.col("c") == F.col("home"), F.col("k")).otherwise(0.0)
+        gain = F.col("w") - resolution * F.col("k") * rest / (2 * total)
+        best = options.withColumn("gain", gain).groupBy("u", "home", "k").agg(
+            F.max(F.struct("gain", (-F.col("c")).alias("c"))).alias("best"), F.max(F.when(F.col("c") == F.col("home"), F.col("gain"))).alias("stay")
+        )
+        go = (F.col("best.gain") > F.col("stay") + 1e-12) & (F.pmod(F.xxhash64("u", F.lit(r)), F.lit(2)) == 0)
+        state = stable(best.select("u", F.when(go, -F.col("best.c")).otherwise(F.col("home")).alias("c"), "k", go.alias("moved")))
+        moved = state.where("moved").count()
+        state = state.drop("moved")
+        still = still + 1 if moved == 0 else 0
+        if still == 2:
+            break
+    return state.select(F.col("u").alias("uid"), F.col("c").alias("community"))
+
+
+def contract(edges: DataFrame, membership: DataFrame) -> DataFrame:
+    """The graph of communities; weight inside a community becomes its edge to itself."""
+    a = membership.select(F.col("uid").alias("src"), F.col("community").alias("a"))
+    b = membership.select(F.col("uid").alias("dst"), F.col("community").alias("b"))
+    on = edges.join(a, "src").join(b, "dst")
+    return on.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight"))
+
+
+def louvain(edges: DataFrame, vertices: DataFrame | None = None, resolution: float = 1.0, most_edges: int = 200_000, levels: int = 12) -> DataFrame:
+    """(uid, community): the smallest member names the community; vertices without edges are their own.
+
+    A component of up to ``most_edges`` edges is solved in one task.  Larger ones are first
+    worked on by ``parallel_moves`` and contracted, level by level, until they are that small
+    (or no level helps any more, and the communities found so far stand).
+    """
     e = stable(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
     total = e.agg(F.sum("weight")).first()[0] or 1.0
-    labels = components(e)
-    parts = e.join(labels, e.src == labels.uid).select("component", "src", "dst", "weight")
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         ids, flat = np.unique(np.concatenate([part.src, part.dst]), return_inverse=True)
@@ -122,7 +171,35 @@ def louvain(edges: DataFrame, vertices: DataFrame | None = None, resolution: flo
         low = pd.Series(ids).groupby(found).transform("min")
         return pd.DataFrame({"uid": ids, "community": low.to_numpy()})
 
-    found = parts.groupBy("component").applyInPandas(solve, "uid bigint, community bigint")
+    def by_component(graph: DataFrame, labels: DataFrame) -> DataFrame:
+        parts = graph.join(labels, graph.src == labels.uid).select("component", "src", "dst", "weight")
+        return parts.groupBy("component").applyInPandas(solve, "uid bigint, community bigint")
+
+    labels = stable(components(e))
+    sizes = e.join(labels, e.src == labels.uid).groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most_edges)
+    large = stable(sizes.select("component"))  # at most as many rows as edges over most_edges
+    if large.isEmpty():
+        found = by_component(e, labels)
+    else:
+        inside = labels.join(F.broadcast(large), "component", "left_semi")
+        found = by_component(e.join(inside, e.src == inside.uid, "left_anti"), labels)
+        graph = stable(e.join(inside, e.src == inside.uid, "left_semi"))
+        place = inside.select("uid", F.col("uid").alias("community"))
+        size = graph.count()
+        for _ in range(levels):
+            moves = parallel_moves(graph, total, resolution)
+            graph = stable(contract(graph, moves))
+            place = stable(place.join(moves.select(F.col("uid").alias("community"), F.col("community").alias("next")), "community").select("uid", F.col("next").alias("community")))
+            new = graph.count()
+            if new <= most_edges or new > 0.95 * size:
+                break
+            size = new
+        if graph.count() <= most_edges:
+            top = components(graph, graph.select(F.explode(F.array("src", "dst")).alias("uid")))
+            last = by_component(graph, top).select(F.col("uid").alias("community"), F.col("community").alias("next"))
+            place = place.join(last, "community").select("uid", F.col("next").alias("community"))
+        low = place.groupBy("community").agg(F.min("uid").alias("low"))
+        found = found.unionByName(place.join(low, "community").select("uid", F.col("low").alias("community")))
     if vertices is not None:
         found = vertices.select("uid").distinct().join(found, "uid", "left").select("uid", F.coalesce("community", "uid").alias("community"))
     return found
@@ -130,8 +207,8 @@ def louvain(edges: DataFrame, vertices: DataFrame | None = None, resolution: flo
 
 def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0, label: str = "community") -> DataFrame:
     """One row: the modularity of a partition."""
-    m = membership.select("uid", F.col(label).alias("c"))
-    e = edges.join(m.withColumnsRenamed({"uid": "src", "c": "ca"}), "src").join(m.withColumnsRenamed({"uid": "dst", "c": "cb"}), "dst")
+    m = membership
+    e = edges.join(m.select(F.col("uid").alias("src"), F.col(label).alias("ca")), "src").join(m.select(F.col("uid").alias("dst"), F.col(label).alias("cb")), "dst")
     inner = e.groupBy(F.col("ca").alias("c")).agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0.0)).alias("w"))
     ends = e.select(F.col("ca").alias("c"), "weight").unionByName(e.select(F.col("cb").alias("c"), "weight")).groupBy("c").agg(F.sum("weight").alias("d"))
     total = edges.agg(F.sum("weight").alias("m"))
