@@ -53,7 +53,7 @@ def process_hm(raw: DataFrame, split: bool = True) -> DataFrame:
     return kept.select(
         F.col("Année d'observation").cast("int").alias("year"), x.alias("cx"), y.alias("cy"), F.col("LIB_Problème principal").alias("cause"), F.col("Remarques").alias("notes"),
         F.col("Sévérité").alias("severity"), (split_biotic(cls, F.col("Sévérité")) if split else cls).alias("class"),
-        lookup(v.REPORT_SPECIES, F.col("LIB_Essence regroupée (ess. concernée)")).alias("essence"), lookup(v.REPORT_TREES, F.col("LIB_Feuillus/Résineux (ess. concernée)")).alias("tree_type"),
+        lookup(v.REPORT_SPECIES, F.col("`LIB_Essence regroupée (ess. concernée)`")).alias("essence"), lookup(v.REPORT_TREES, F.col("`LIB_Feuillus/Résineux (ess. concernée)`")).alias("tree_type"),
         F.lit("hm").alias("dataset"),
     ).dropna()
 
