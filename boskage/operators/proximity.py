@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,18 +101,22 @@ def cells_of(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, metri
 
 
 def near_locations(
-    left: DataFrame, right: DataFrame, radius: float, metric: str = "plane", pivots: int = 1024, part: int = 20_000
+    left: DataFrame, right: DataFrame, radius: float, metric: str = "plane", pivots: int = 1024, part: int = 20_000, cell: int = 500
 ) -> DataFrame:
     """Pairs (ax, ay, bx, by) of distinct locations of two frames with columns x, y.
 
     ``pivots`` bounds the sample that the cells are made of (fitted once, sent to all
-    executors); ``part`` is the number of locations from which a cell is divided.  Neither
-    drops anything.  Empty sides give no pair.
+    executors), ``cell`` is the number of locations a cell should have until that bound is
+    reached, and ``part`` the number from which a cell is divided.  None drops anything.
+    Empty sides give no pair.
     """
     spark = left.sparkSession
-    a, b = left.select("x", "y").distinct(), right.select("x", "y").distinct()
+    # a fixed number of partitions: coordinates are few bytes, but the work on them isn't little
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (side.select("x", "y").repartition(tasks, "x", "y").distinct() for side in (left, right))
     order = F.xxhash64("x", "y")
-    sample = a.select("x", "y", order.alias("h")).orderBy("h", "x", "y").limit(pivots).collect()
+    wanted = min(pivots, -(-a.count() // cell))
+    sample = a.select("x", "y", order.alias("h")).orderBy("h", "x", "y").limit(wanted).collect() if wanted else []
     if not sample:
         return spark.createDataFrame([], "ax double, ay double, bx double, by double")
     px, py = np.array([r.x for r in sample]), np.array([r.y for r in sample])
@@ -139,16 +142,13 @@ def near_locations(
     else:
         homes, copies = homes.withColumn("part", F.lit(0)), copies.withColumn("part", F.lit(0))
 
-    def join(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        tree = VantageTree(own.x.to_numpy(), own.y.to_numpy(), metric)
-        q, p = tree.within(asked.x.to_numpy(), asked.y.to_numpy(), radius)
-        return pd.DataFrame({"ax": tree.x[p], "ay": tree.y[p], "bx": asked.x.to_numpy()[q], "by": asked.y.to_numpy()[q]})
+    def join(own: pa.Table, asked: pa.Table) -> pa.Table:
+        x, y, qx, qy = (t.column(c).to_numpy() for t in (own, asked) for c in ("x", "y"))
+        q, p = VantageTree(x, y, metric).within(qx, qy, radius)
+        return pa.table({"ax": x[p], "ay": y[p], "bx": qx[q], "by": qy[q]})
 
-    return (
-        homes.groupBy("cell", "part")
-        .cogroup(copies.groupBy("cell", "part"))
-        .applyInPandas(join, "ax double, ay double, bx double, by double")
-    )
+    sides = (side.repartition(tasks, "cell", "part").groupBy("cell", "part") for side in (homes, copies))
+    return next(sides).cogroup(next(sides)).applyInArrow(join, "ax double, ay double, bx double, by double")
 
 
 def located(df: DataFrame, key: str, geometry: str, side: str) -> DataFrame:
