@@ -414,3 +414,9 @@ def collected(parts: pd.Series) -> pd.Series:
         own = [p for w in (group if group is not None else []) for p in read_wkb(w)[1]]
         out.append(write_wkb(own, MULTIPOLYGON) if own else None)
     return pd.Series(out, dtype=object)
+
+
+@F.pandas_udf(T.BinaryType())
+def box_wkb(x: pd.Series, y: pd.Series, size: pd.Series) -> pd.Series:
+    """Squares by their lower left corner and size."""
+    return pd.Series([write_wkb([[np.array([[a, b], [a + w, b], [a + w, b + w], [a, b + w]], float)]]) for a, b, w in zip(x, y, size)], dtype=object)

@@ -201,3 +201,20 @@ def test_stream(spark, tmp_path):
         q.stop()
     assert sorted(r.uid for r in spark.table("anchored").collect()) == [0, 1, 2, 3]
     assert spark.table("counted").agg(F.sum("n")).first()[0] == 4
+
+
+def test_overlay_parts_add_up(spark):
+    from boskage.plans.experiment_queries import queries
+
+    parts = queries()["overlay_j15"](spark, SF).groupBy("index_reference").agg(F.sum("overlap").alias("s"))
+    ref = spark.read.parquet(f"{SF}/reference_polygons.parquet")
+    assert parts.join(ref, "index_reference").where("abs(s - area) > 0.1").count() == 0 and parts.count() == ref.where("area > 0").count()
+
+
+def test_noise_is_keyed(spark):
+    from boskage.operators import experiments
+
+    df = spark.range(5000).selectExpr("id uid")
+    a = sorted(r.v for r in df.select(experiments.normal(F.col("uid"), 3).alias("v")).collect())
+    b = sorted(r.v for r in df.repartition(7).select(experiments.normal(F.col("uid"), 3).alias("v")).collect())
+    assert a == b and abs(np.mean(a)) < 0.06 and abs(np.std(a) - 1) < 0.05
