@@ -26,19 +26,19 @@ def as_map(votes: DataFrame) -> DataFrame:
 
 def predominant(entries: DataFrame, group: str, cls: str, weight: Column) -> DataFrame:
     """The class with the most entries, then the greatest mean weight, then the first to appear (column seq)."""
-    per = entries.groupBy(group, cls).agg(F.count("*").alias("n"), F.avg(weight).alias("w"), F.min("seq").alias("first"))
-    w = Window.partitionBy(group).orderBy(F.desc("n"), F.desc("w"), "first", cls)
-    return per.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k", "first")
+    per = entries.groupBy(group, cls).agg(F.count("*").alias("n"), F.avg(weight).alias("w"), F.min("seq").alias("_first"))
+    w = Window.partitionBy(group).orderBy(F.desc("n"), F.desc("w"), "_first", cls)
+    return per.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_first")
 
 
 def thresholded_mode(df: DataFrame, group: str, value: str, least: float = 0.25) -> DataFrame:
     """The most frequent non-null value where it makes up more than ``least`` of all rows, nulls included; ties go to the lowest."""
-    counts = df.groupBy(group, value).agg(F.count("*").alias("n"))
+    counts = df.groupBy(group, value).agg(F.count("*").alias("_n"))
     w = Window.partitionBy(group)
-    ranked = counts.withColumn("total", F.sum("n").over(w)).withColumn(
-        "k", F.row_number().over(w.orderBy(F.col(value).isNull().cast("int"), F.desc("n"), value))
+    ranked = counts.withColumn("_total", F.sum("_n").over(w)).withColumn(
+        "_k", F.row_number().over(w.orderBy(F.col(value).isNull().cast("int"), F.desc("_n"), value))
     )
-    return ranked.where("k = 1").select(group, F.when(F.col("n") / F.col("total") > least, F.col(value)).alias("mode"))
+    return ranked.where("_k = 1").select(group, F.when(F.col("_n") / F.col("_total") > least, F.col(value)).alias("mode"))
 
 
 def evidence(rows: DataFrame, group: str, cls: str, p: str, compatible: DataFrame) -> DataFrame:
@@ -64,8 +64,8 @@ def evidence_balance(rows: DataFrame, group: str, cls: str, p: str, compatible:
 def top_class(votes: DataFrame, group: str, cls: str, p: str, single_spread: float | None = 0.0) -> DataFrame:
     """(group, class, p, spread): the most probable class and its lead over the next; ties go to the lowest name."""
     w = Window.partitionBy(group).orderBy(F.desc(p), cls)
-    ranked = votes.withColumn("k", F.row_number().over(w)).withColumn("next", F.lead(p).over(w)).where("k = 1")
-    return ranked.select(group, cls, p, F.coalesce(F.col(p) - F.col("next"), F.lit(single_spread)).alias("spread"))
+    ranked = votes.withColumn("_k", F.row_number().over(w)).withColumn("_next", F.lead(p).over(w)).where("_k = 1")
+    return ranked.select(group, cls, p, F.coalesce(F.col(p) - F.col("_next"), F.lit(single_spread)).alias("spread"))
 
 
 def composition_entries(members: DataFrame, composition: DataFrame) -> DataFrame:
