@@ -2,9 +2,10 @@
 
 Both sides are copied to the cells their rectangles cover and joined by cell; a pair is
 given in one cell only, the one that holds the lower left corner of the rectangles'
-intersection, so no pair has to be made distinct afterwards.  Rectangles larger than
-``MOST_CELLS`` cells are joined on a coarser grid of their own: each level doubles the cell
-sixteen-fold, and both sides are copied to the levels that occur.
+intersection, so no pair has to be made distinct afterwards.  Where some rectangles are far
+larger than a cell, further levels of coarser cells may be asked for: a rectangle is copied to
+the finest level where it covers few cells and to the coarser ones, and a pair meets on the
+coarser of its two levels.
 """
 
 from __future__ import annotations
@@ -26,23 +27,38 @@ def grow(df: DataFrame, by: Column | float) -> DataFrame:
     return df.withColumns({"minx": F.col("minx") - by, "miny": F.col("miny") - by, "maxx": F.col("maxx") + by, "maxy": F.col("maxy") + by})
 
 
-def _cells(low: str, high: str, cell: float) -> Column:
-    return F.explode(F.sequence(F.floor(F.col(low) / cell).cast("long"), F.floor(F.col(high) / cell).cast("long")))
+#: How much wider the cells of a level are than those of the one below.
+WIDER = 16.0
 
 
-def meeting(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+def _on_grid(df: DataFrame, p: str, cell: float, levels: int) -> DataFrame:
+    """A side with a row for each cell of each level it is joined on."""
+    size = F.greatest(F.col(f"{p}maxx") - F.col(f"{p}minx"), F.col(f"{p}maxy") - F.col(f"{p}miny"))
+    if levels > 1:
+        level = F.ceil(F.log(WIDER, F.greatest(size / (4 * cell), F.lit(1.0))))
+        own = F.least(F.lit(levels - 1), level).cast("int")
+        df = df.withColumn(f"{p}level", own).withColumn("level", F.explode(F.sequence(f"{p}level", F.lit(levels - 1))))
+    else:
+        df = df.withColumns({f"{p}level": F.lit(0), "level": F.lit(0)})
+    width = F.lit(cell) * F.pow(F.lit(WIDER), F.col("level"))
+    at = lambda c: F.floor(F.col(p + c) / width).cast("long")
+    return df.withColumn("cx", F.explode(F.sequence(at("minx"), at("maxx")))).withColumn("cy", F.explode(F.sequence(at("miny"), at("maxy"))))
+
+
+def meeting(left: DataFrame, right: DataFrame, cell: float, levels: int = 1) -> DataFrame:
     """All pairs whose rectangles meet; columns of the sides come out prefixed ``l_`` and ``r_``.
 
     Both sides need minx, miny, maxx, maxy.  Rows with a null or NaN there meet nothing.
     """
     l, r = (df.select(*(F.col(c).alias(p + c) for c in df.columns)) for df, p in ((left, "l_"), (right, "r_")))
     ok = lambda p: " and ".join(f"not isnan({p}{c})" for c in BOX)
-    l, r = l.where(ok("l_")), r.where(ok("r_"))
-    l = l.withColumn("cx", _cells("l_minx", "l_maxx", cell)).withColumn("cy", _cells("l_miny", "l_maxy", cell))
-    r = r.withColumn("cx", _cells("r_minx", "r_maxx", cell)).withColumn("cy", _cells("r_miny", "r_maxy", cell))
+    l, r = _on_grid(l.where(ok("l_")), "l_", cell, levels), _on_grid(r.where(ok("r_")), "r_", cell, levels)
     a, b = planar.rect("l_"), planar.rect("r_")
-    once = (F.col("cx") == F.floor(F.greatest(a["minx"], b["minx"]) / cell)) & (F.col("cy") == F.floor(F.greatest(a["miny"], b["miny"]) / cell))
-    return l.join(r, ["cx", "cy"]).where(planar.rects_meet(a, b) & once).drop("cx", "cy")
+    width = F.lit(cell) * F.pow(F.lit(WIDER), F.col("level"))
+    once = (F.col("cx") == F.floor(F.greatest(a["minx"], b["minx"]) / width)) & (F.col("cy") == F.floor(F.greatest(a["miny"], b["miny"]) / width))
+    if levels > 1:
+        once = once & (F.greatest("l_level", "r_level") == F.col("level"))
+    return l.join(r, ["level", "cx", "cy"]).where(planar.rects_meet(a, b) & once).drop("level", "cx", "cy", "l_level", "r_level")
 
 
 def within_distance(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:

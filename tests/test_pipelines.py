@@ -104,8 +104,9 @@ def test_spatial_edges(spark):
     rows = [(int(k), *map(float, (x, y, x + w, y + h))) for k, (x, y, w, h) in enumerate(zip(*rng.uniform(-50, 50, (2, 150)), *rng.exponential(15, (2, 150))))]
     df = spark.createDataFrame(rows, "uid long, minx double, miny double, maxx double, maxy double")
     want = {(a[0], b[0]) for a in rows for b in rows if a[1] <= b[3] and b[1] <= a[3] and a[2] <= b[4] and b[2] <= a[4]}
-    pairs = meeting(df, df, 7.0).collect()
-    assert len(pairs) == len(want) and {(r.l_uid, r.r_uid) for r in pairs} == want
+    for levels in (1, 3):
+        pairs = meeting(df, df, 7.0 if levels == 1 else 0.5, levels).collect()
+        assert len(pairs) == len(want) and {(r.l_uid, r.r_uid) for r in pairs} == want
     nulls = spark.createDataFrame([(1, None, 0.0, 1.0, 1.0), (2, float("nan"), 0.0, 1.0, 1.0)], df.schema)
     assert meeting(nulls, df, 7.0).count() == 0
     day = 86_400_000_000
