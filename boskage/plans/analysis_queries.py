@@ -90,17 +90,18 @@ def _(s, d):
     return spatial_join.enrich(spatial_join.grow(h.select("uid", *BOX), 8000.0), r, "uid", 16_000.0)
 
 
-_REF = "r as (select index_reference uid, minx, miny, maxx, maxy, class from reference_polygons)"
+_REF = "q as (select index_reference uid, round((minx + maxx)/2, 2) cx, round((miny + maxy)/2, 2) cy from reference_polygons), r as (select uid, cx - 5000 minx, cy - 5000 miny, cx + 5000 maxx, cy + 5000 maxy from q)"
 _I = "(greatest(0, least(a.maxx, b.maxx) - greatest(a.minx, b.minx)) * greatest(0, least(a.maxy, b.maxy) - greatest(a.miny, b.miny)))"
 _AREA = "({0}.maxx - {0}.minx)*({0}.maxy - {0}.miny)"
 
 
-@R.query("pairwise_overlap_j22", f"with {_REF} select a.uid a, b.uid b, round({_I}, 4) overlap, round({_I}/({_AREA.format('a')} + {_AREA.format('b')} - {_I}), 6) iou from r a join r b on a.uid < b.uid and {MEET}")
+@R.query("pairwise_overlap_j22", f"with {_REF} select a.uid a, b.uid b, round({_I}, 2) overlap, round({_I}/({_AREA.format('a')} + {_AREA.format('b')} - {_I}), 6) iou from r a join r b on a.uid < b.uid and {MEET}")
 def _(s, d):
-    r = table(s, d, "reference_polygons").select(F.col("index_reference").alias("uid"), *BOX)
-    pairs = spatial_join.meeting(r, r, 2000.0).where("l_uid < r_uid")
+    mid = lambda c: F.round((F.col(f"min{c}") + F.col(f"max{c}")) / 2, 2).alias(f"c{c}")
+    r = extent.squares(table(s, d, "reference_polygons").select(F.col("index_reference").alias("uid"), mid("x"), mid("y"))).select("uid", *BOX)
+    pairs = spatial_join.meeting(r, r, 10_000.0).where("l_uid < r_uid")
     a, b = planar.rect("l_"), planar.rect("r_")
-    return pairs.select(F.col("l_uid").alias("a"), F.col("r_uid").alias("b"), F.round(planar.rect_overlap(a, b), 4).alias("overlap"), F.round(planar.rect_iou(a, b), 6).alias("iou"))
+    return pairs.select(F.col("l_uid").alias("a"), F.col("r_uid").alias("b"), F.round(planar.rect_overlap(a, b), 2).alias("overlap"), F.round(planar.rect_iou(a, b), 6).alias("iou"))
 
 
 @R.query("box_features_j21", f"with {EVENTS_SQL}, s as (select uid, cx - 5000 minx, cy - 5000 miny, cx + 5000 maxx, cy + 5000 maxy from ev where class = 'Fire') select a.uid box, b.uid, row_number() over (partition by a.uid order by b.uid) - 1 ordinal from s a join ev b on {MEET}")
