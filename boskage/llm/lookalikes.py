@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boskage.llm.forms import Normalizer, Vocabulary
+from boskage.session import stable
 
 #: Most known spellings; the words beyond are normalised by table, which changes no class.
 MOST_WORDS = 50_000
@@ -85,11 +86,12 @@ def look_alike_classes(docs: DataFrame, doc: str = "doc_id", text: str = "text")
 
 def look_alike_pairs(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id_a, doc_id_b), the lower first: documents that look the same but aren't the same characters."""
-    from boskage.session import stable
-
     prints = stable(fingerprints(docs, doc, text))
     several = prints.groupBy("form").agg(F.min("own").alias("a"), F.max("own").alias("b")).where("a != b").select("form")
-    own = prints.join(several, "form", "left_semi")
-    a = own.select("form", F.col("own").alias("x"), F.col(doc).alias("doc_id_a"))
-    b = own.select("form", F.col("own").alias("y"), F.col(doc).alias("doc_id_b"))
-    return a.join(b, "form").where("x != y and doc_id_a < doc_id_b").select("doc_id_a", "doc_id_b")
+    own = prints.join(several, "form", "left_semi").select("form", "own", F.col(doc).alias("d"))
+    # different texts are paired first, so copies of one text never meet each other
+    texts = own.select("form", "own").distinct()
+    pairs = texts.alias("a").join(texts.alias("b"), F.expr("a.form = b.form and a.own < b.own")).select(F.col("a.own").alias("x"), F.col("b.own").alias("y"))
+    first = pairs.join(own.select(F.col("own").alias("x"), F.col("d").alias("dx")), "x")
+    both = first.join(own.select(F.col("own").alias("y"), F.col("d").alias("dy")), "y")
+    return both.where("dx != dy").select(F.least("dx", "dy").alias("doc_id_a"), F.greatest("dx", "dy").alias("doc_id_b"))

@@ -25,9 +25,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boskage.session import bounded_rows
+
 #: Items that a shard packs on average.
 SHARD_ITEMS = 20_000
-MOST_CONTAINERS = 10_000
+MOST_CONTAINERS = 1_000
 
 
 def byte_tokens(text: str) -> Column:
@@ -120,13 +122,15 @@ def pack(items: DataFrame, containers: DataFrame, item: str, size: str, containe
     several parts.
     """
     kinds = containers.select(F.col(container).alias("c"), F.col(capacity).cast("long").alias("cap")).where("c is not null and cap > 0").distinct()
-    if kinds.limit(MOST_CONTAINERS + 1).count() > MOST_CONTAINERS:
-        raise ValueError(f"more than {MOST_CONTAINERS} kinds of container")
+    kc, ki = containers.schema[container].dataType.simpleString(), items.schema[item].dataType.simpleString()
+    listed = [F.struct(F.lit(r["c"]).cast(kc).alias("c"), F.lit(r["cap"]).cast("long").alias("cap")) for r in bounded_rows(kinds, MOST_CONTAINERS, "the kinds of container")]
+    if not listed:
+        listed = [F.struct(F.lit(None).cast(kc).alias("c"), F.lit(None).cast("long").alias("cap"))]
     # the number of items is read from the files' footers where the table comes straight from files
     shards = max(1, -(-items.select(item).count() // shard_items))
     sized = items.select(F.col(item).alias("i"), F.col(size).cast("long").alias("n")).where("n is not null and i is not null")
-    spread = sized.withColumn("shard", F.pmod(F.xxhash64("i", F.lit(5)), F.lit(shards)).cast("int")).crossJoin(F.broadcast(kinds))
-    kc, ki = containers.schema[container].dataType.simpleString(), items.schema[item].dataType.simpleString()
+    sharded = sized.withColumn("shard", F.pmod(F.xxhash64("i", F.lit(5)), F.lit(shards)).cast("int"))
+    spread = sharded.withColumn("kind", F.explode(F.array(*listed))).select("i", "n", "shard", "kind.c", "kind.cap").where("c is not null")
 
     def fill(frame: pd.DataFrame) -> pd.DataFrame:
         cap = int(frame.cap.iloc[0])

@@ -26,8 +26,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from boskage.session import stable
+
 #: Most target rows that are sent to all executors.
 MOST_TARGETS = 100_000
+#: Most cells that are; beyond, they are joined by a shuffle.
+MOST_CELLS = 1_000_000
 #: Buckets of random keys per cell in the draw.
 BUCKETS = 4096
 
@@ -168,7 +172,8 @@ def draw(sampled: DataFrame, allocation: DataFrame, seed: int = 11) -> DataFrame
 
     The key is a hash of plan, unit and seed (ties by unit), so a draw can be repeated.
     """
-    cells = F.broadcast(allocation.where("take > 0").groupBy("plan_id", "g", "c", "s").agg(F.max("take").alias("take"))).alias("k")
+    cells = stable(allocation.where("take > 0").groupBy("plan_id", "g", "c", "s").agg(F.max("take").alias("take")))
+    cells = (F.broadcast(cells) if cells.count() <= MOST_CELLS else cells).alias("k")
     rows = sampled.alias("x")
     keyed = rows.join(cells, F.expr("x.g = k.g and x.c = k.c and x.s <=> k.s")).select(
         "plan_id", "k.g", "k.c", "k.s", "u", "r", "take", F.xxhash64("plan_id", "u", F.lit(seed)).bitwiseXOR(F.lit(-(2**63))).alias("key")
