@@ -30,11 +30,14 @@ def temporal_grid(members: DataFrame, group: str) -> DataFrame:
 def temporal_profile(members: DataFrame, group: str, weight: Column | None = None) -> DataFrame:
     """(group, t_us, v): the members' mean temporal profile on the grid; weighted by ``weight`` where given."""
     grid = temporal_grid(members, group)
-    middle = members.withColumn("mid_us", (F.col("start_us") + F.floor((F.col("end_us") - F.col("start_us")) / 2)).cast("long"))
-    days = F.abs(F.floor((F.col("t_us") - F.col("mid_us")) / F.lit(DAY_US))).cast("double")
-    w = weight if weight is not None else F.lit(1.0)
-    on = grid.join(middle, group).withColumn("x", days)
-    return on.groupBy(group, "t_us").agg((F.sum(profile_of(F.col("x"), F.col("dataset"), F.col("class"), "temporal") * w) / F.sum(w)).alias("v"))
+    mid = (F.col("start_us") + F.floor((F.col("end_us") - F.col("start_us")) / 2)).cast("long")
+    w = (weight if weight is not None else F.lit(1.0)).alias("_w")
+    # members that share middle, source and class have one profile
+    alike = members.select(group, mid.alias("_mid"), "dataset", "class", w).groupBy(group, "_mid", "dataset", "class").agg(F.sum("_w").alias("_w"))
+    days = F.abs(F.floor((F.col("t_us") - F.col("_mid")) / F.lit(DAY_US))).cast("double")
+    on = grid.join(alike, group).withColumn("x", days)
+    v = profile_of(F.col("x"), F.col("dataset"), F.col("class"), "temporal")
+    return on.groupBy(group, "t_us").agg((F.sum(v * F.col("_w")) / F.sum("_w")).alias("v"))
 
 
 def temporal_period(members: DataFrame, group: str, weight: Column | None = None) -> DataFrame:

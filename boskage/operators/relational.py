@@ -48,8 +48,11 @@ def first_non_null(group: DataFrame, keys: list[str], value: str, order: str) ->
 
 
 def keep_max(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """All rows that have the greatest value of their group."""
-    return df.withColumn("_m", F.max(value).over(Window.partitionBy(*keys))).where(F.col(value) == F.col("_m")).drop("_m")
+    """All rows that have the greatest value of their group; rows with a null key or value are left out.
+
+    The maxima are aggregated before the shuffle and joined back, so a hot group isn't one task's.
+    """
+    return df.join(df.groupBy(*keys).agg(F.max(value).alias(value)), [*keys, value], "left_semi")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

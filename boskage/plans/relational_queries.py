@@ -327,8 +327,7 @@ def _(s, d):
 @R.query("keep_max_w1", "select index_reference, row_id from (select *, max(loaded_at) over (partition by index_reference) m from group_sample where index_reference is not null) where loaded_at = m")
 def _(s, d):
     g = table(s, d, "group_sample").select("index_reference", "row_id", "loaded_at").where("index_reference is not null")
-    top = g.groupBy("index_reference").agg(F.max("loaded_at").alias("loaded_at"))
-    return g.join(top, ["index_reference", "loaded_at"]).select("index_reference", "row_id")
+    return rel.keep_max(g, ["index_reference"], "loaded_at").select("index_reference", "row_id")
 
 
 @R.query("consecutive_w2", "select y a, lead(y) over (order by y) b from (select distinct year y from reference_polygons where year is not null) qualify b is not null")
