@@ -70,10 +70,7 @@ def merge_days(df: DataFrame, entity: str, start: str, end: str, at_least: int =
         F.col(entity).cast("long").alias("e"), F.col(start).cast("int").alias("s"), F.col(end).cast("int").alias("t")
     ).where("e is not null and s is not null and t is not null and t >= s")
     once = src.groupBy("e", "s").agg(F.max("t").alias("t"), F.count("*").alias("n"))
-    if at_least > 1:
-        enough = once.groupBy("e").agg(F.sum("n").alias("n")).where(F.col("n") >= at_least).select("e")
-        once = once.join(enough, "e", "left_semi")
-    ordered = stable(once.select("e", "s", "t").repartitionByRange("e", "s").sortWithinPartitions("e", "s"))
+    ordered = stable(once.repartitionByRange("e", "s").sortWithinPartitions("e", "s"))
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, carry, island, only = False, None, None, True
@@ -94,7 +91,7 @@ def merge_days(df: DataFrame, entity: str, start: str, end: str, at_least: int =
                 names=["p", "e", "t", "i", "only"],
             )
 
-    summaries = sorted(ordered.mapInArrow(summarise, "p int, e bigint, t bigint, i bigint, only boolean").collect())
+    summaries = sorted(ordered.select("e", "s", "t").mapInArrow(summarise, "p int, e bigint, t bigint, i bigint, only boolean").collect())
     carries: dict[int, tuple] = {}
     state: tuple | None = None
     for p, e, t, i, only in summaries:
@@ -133,7 +130,11 @@ def merge_days(df: DataFrame, entity: str, start: str, end: str, at_least: int =
             )
             carry = (int(e[-1]), int(max(t[-1], before[-1])), int(label[-1]))
 
-    pieces = ordered.mapInArrow(rescan, out)
+    days = ordered.select("e", "s", "t")
+    pieces = days.mapInArrow(rescan, out)
+    if at_least > 1:  # counted on what was written, so the source is read once
+        enough = ordered.groupBy(F.col("e").alias(entity)).agg(F.sum("n").alias("n")).where(F.col("n") >= at_least)
+        pieces = pieces.join(enough, entity, "left_semi")
     return pieces.groupBy(entity, "kind", "first_day").agg(F.max("last_day").alias("last_day"))
 
 
