@@ -163,3 +163,36 @@ def cluster_boxes(members: DataFrame, group: str) -> DataFrame:
 def squares(df: DataFrame, half: float = 5000.0) -> DataFrame:
     """The square of 10 km around each centre."""
     return df.withColumns({"minx": F.col("cx") - half, "miny": F.col("cy") - half, "maxx": F.col("cx") + half, "maxy": F.col("cy") + half})
+
+
+def hulls(df: DataFrame, keys: list[str], geometry: str = "geometry") -> DataFrame:
+    """(keys, hull): the convex hull of each group's WKB geometries, null where a group has none.
+
+    Each partition first reduces its rows to one hull per group, so a group reaches its task as
+    at most as many hulls as there are partitions (more only where a partition holds very many groups).
+    """
+    from boskage.functions.geometry import hull, read_wkb, write_wkb
+
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", hull binary"
+
+    def reduced(part: pd.DataFrame) -> list[dict]:
+        rows = []
+        for key, own in part.groupby(keys, dropna=False, sort=False):
+            parts = [p[0] for w in own.hull for p in read_wkb(w)[1]]
+            key = key if isinstance(key, tuple) else (key,)
+            rows.append({**dict(zip(keys, key)), "hull": write_wkb([[hull(np.vstack(parts))]]) if parts else None})
+        return rows
+
+    def within(batches):
+        held: list[dict] = []
+        for batch in batches:
+            held = reduced(pd.concat([pd.DataFrame(held, columns=batch.columns, dtype=object), batch.astype(object)]))
+            if len(held) > 20_000:
+                yield pd.DataFrame(held, columns=batch.columns)
+                held = []
+        if held:
+            yield pd.DataFrame(held)
+
+    src = df.select(*keys, F.col(geometry).alias("hull"))
+    partial = src.mapInPandas(within, schema)
+    return partial.groupBy(*keys).applyInPandas(lambda part: pd.DataFrame(reduced(part.astype(object)), columns=[*keys, "hull"]), schema)

@@ -53,11 +53,8 @@ def _(s, d):
 
 @R.query("hull_e3")
 def _(s, d):
-    # parts are collected per class and year within a bounded number of salts, hulls of hulls are hulls
-    r = table(s, d, "reference_polygons").select("class", "year", F.pmod("index_reference", F.lit(64)).alias("salt"), "geometry")
-    part = r.groupBy("class", "year", "salt").agg(F.collect_list("geometry").alias("g")).select("class", "year", geometry.hulled(geometry.collected("g")).alias("h"))
-    whole = part.groupBy("class", "year").agg(F.collect_list("h").alias("g")).select("class", "year", geometry.hulled(geometry.collected("g")).alias("h"))
-    return whole.select("class", "year", F.round(geometry.measure("h")["area"], 1).alias("hull_area"))
+    whole = extent.hulls(table(s, d, "reference_polygons"), ["class", "year"])
+    return whole.select("class", "year", F.round(geometry.measure("hull")["area"], 1).alias("hull_area"))
 
 
 @R.query("gating_k25", "with x as (select unnest(range(0, 61))::double x), p as (select x, case when x <= 7 then 1.0 else exp(-pow(x - 7, 2)/(2*pow(31/2.0, 2))) end f, exp(-0.5*pow(x/1095.0, 2)) g from x) select a.x, round(a.f*a.g, 6) product, round((select sum(b.f*c.g) from p b join p c on b.x + c.x = a.x), 6) convolution from p a")

@@ -219,3 +219,13 @@ def test_noise_is_keyed(spark):
     a = sorted(r.v for r in df.select(experiments.normal(F.col("uid"), 3).alias("v")).collect())
     b = sorted(r.v for r in df.repartition(7).select(experiments.normal(F.col("uid"), 3).alias("v")).collect())
     assert a == b and abs(np.mean(a)) < 0.06 and abs(np.std(a) - 1) < 0.05
+
+
+def test_hulls(spark):
+    from boskage.functions.geometry import area, read_wkb, write_wkb
+
+    square = lambda x: write_wkb([[np.array([[x, 0], [x + 1, 0], [x + 1, 1], [x, 1]], float)]])
+    rows = [(k % 2 if k % 5 else None, square(float(k))) for k in range(40)] + [(7, None)]
+    df = spark.createDataFrame(rows, "g int, geometry binary").repartition(5)
+    got = {r.g: r.hull for r in extent.hulls(df, ["g"]).collect()}
+    assert {g: round(area(read_wkb(h)[1]), 6) for g, h in got.items()} == {0: 37.0, 1: 39.0, None: 36.0, 7: 0}
