@@ -233,7 +233,7 @@ def overlap_area(a: list, b: list) -> float:
         t = (rel[..., 0] * d2[..., 1] - rel[..., 1] * d2[..., 0]) / den
         u = (rel[..., 0] * d1[..., 1] - rel[..., 1] * d1[..., 0]) / den
     hit = (den != 0) & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-    xs.append((sa[:, None, 0] + t * d1[..., 0])[hit])
+    xs.append((sa[:, None, 0] + np.where(hit, t, 0) * d1[..., 0])[hit])
     x = np.unique(np.concatenate([np.clip(np.concatenate(xs), low, high), [low, high]]))
     total = 0.0
     for x1, x2 in zip(x[:-1], x[1:]):
