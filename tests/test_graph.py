@@ -95,3 +95,40 @@ def test_cluster_similarities(spark):
         assert cluster.cluster_similarities(pairs, members, method).count() == 6
     found = cluster.offset_labels(spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 2, 0), (4, 2, -1), (5, 7, 0)], "uid long, community long, label long"))
     assert {r.uid: r.label for r in found.collect()} == {1: 0, 2: 1, 3: 2, 4: -1, 5: 3}
+
+
+def test_dbscan_of_large_communities(spark):
+    n = cluster.MOST_MEMBERS + 5
+    members = spark.range(n).selectExpr("1L community", "id uid")
+    pairs = spark.range(0, n - 1, 2).selectExpr("1L community", "id i", "id + 1 j", "0.9D s").where("i < 20000")
+    got = cluster.cluster_similarities(pairs, members, "dbscan", eps=0.3)
+    assert got.count() == n and got.where("label = -1").count() == 5
+    assert got.where("label >= 0 and label != uid div 2").count() == 0
+
+
+def test_dbscan_and_hdbscan_over_pairs_meet_the_matrix(spark):
+    rng = np.random.default_rng(3)
+    rows = sorted({(c, int(min(a, b)), int(max(a, b))) for c in (1, 2) for a, b in rng.integers(0, 30, (40, 2)) if a != b})
+    rows = [(c, i, j, float(rng.random())) for c, i, j in rows] + [(1, 2, 900, 1.0), (1, 3, 15_000, 1.0)]  # ends that are no members
+    members = spark.createDataFrame([(c, k) for c in (1, 2) for k in range(30)], "community long, uid long")
+    pairs = spark.createDataFrame(rows, "community long, i long, j long, s double")
+    d = {c: np.ones((30, 30)) for c in (1, 2)}
+    for c, i, j, s in rows:
+        if j < 30:
+            d[c][i, j] = d[c][j, i] = 1 - s
+    for c in d:
+        np.fill_diagonal(d[c], 0)
+    solve = {"dbscan": lambda m, k: cluster.dbscan(m, 0.7, k), "hdbscan": lambda m, k: cluster.hdbscan(m, 2, k, count_self=True)[0]}
+    for method in solve:
+        for k in (2, 3):
+            got = {(r.community, r.uid): r.label for r in cluster.cluster_similarities(pairs, members, method, min_samples=k).collect()}
+            for c in d:
+                assert [got[c, v] for v in range(30)] == solve[method](d[c], k).tolist(), (method, k, c)
+
+
+def test_events_of_a_large_community(spark, monkeypatch):
+    rows = [(k, 1, 1e5 * (k % 3) + k, 0.0, 0, "Fire") for k in range(120)]
+    df = spark.createDataFrame(rows, "uid long, community long, cx double, cy double, mid_us long, class string")
+    monkeypatch.setattr(cluster, "MOST_MEMBERS", 100)
+    got = {r.uid: r.label for r in cluster.cluster_events(df).collect()}
+    assert all(got[k] == got[k % 3] >= 0 for k in got) and len(set(got.values())) == 3
