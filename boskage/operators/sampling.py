@@ -27,9 +27,10 @@ def stratified(clusters: DataFrame, seed: int = 42, per_region: int = 10, second
 
     Round 1: in each region, classes from the most frequent, up to ``per_region`` clusters of
     a class, no community twice.  Round 2: what a class lacks to ``per_region`` times the
-    number of regions is shared out by what regions have left, at most ``second_most`` each.
-    The order within a class is a seeded hash; the candidates of a region are limited to what
-    a draw can need before they are gathered: hash order per class and community.
+    number of regions is shared out by the clusters regions have left in communities that
+    round 1 didn't use, at most ``second_most`` each.  The order within a class is a seeded
+    hash; the candidates of a region are limited to what a draw can need before they are
+    gathered: hash order per class and community.  What is left is counted over all clusters.
     """
     regions = clusters.select("region").distinct().count()
     w = Window.partitionBy("region", "class", "community").orderBy(F.xxhash64("uid", F.lit(seed)), "uid")
@@ -51,7 +52,8 @@ def stratified(clusters: DataFrame, seed: int = 42, per_region: int = 10, second
     round1 = keyed.groupBy("region").applyInPandas(first, schema)
     lack = round1.groupBy("class").agg(F.greatest(F.lit(0), F.lit(per_region * regions) - F.count("*")).alias("lack"))
     left = keyed.join(round1.select("region", "community").distinct(), ["region", "community"], "left_anti")
-    have = left.groupBy("region", "class").agg(F.count("*").alias("have"))
+    whole = clusters.where("region is not null and class is not null").join(round1.select("region", "community").distinct(), ["region", "community"], "left_anti")
+    have = whole.groupBy("region", "class").agg(F.count("*").alias("have"))
     share = have.join(F.broadcast(lack), "class").withColumn("all", F.sum("have").over(Window.partitionBy("class")))
     quota = share.select("region", "class", F.least(F.lit(second_most), F.round(F.col("have") / F.col("all") * F.col("lack"))).cast("int").alias("quota"))
 

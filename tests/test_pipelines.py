@@ -229,3 +229,10 @@ def test_hulls(spark):
     df = spark.createDataFrame(rows, "g int, geometry binary").repartition(5)
     got = {r.g: r.hull for r in extent.hulls(df, ["g"]).collect()}
     assert {g: round(area(read_wkb(h)[1]), 6) for g, h in got.items()} == {0: 37.0, 1: 39.0, None: 36.0, 7: 0}
+
+
+def test_second_round_shares_by_all_that_is_left(spark):
+    # c lacks ten: r0 has 200 communities of two clusters, r1 has 150 of one, r2 none
+    c = spark.range(560).selectExpr("id uid", "case when id < 400 then 'r0' when id < 550 then 'r1' else 'r2' end region", "case when id < 550 then 'c' else 'k' end `class`", "case when id < 400 then id div 2 else id end community")
+    drawn = sampling.stratified(c).where("class = 'c' and round = 2").groupBy("region").count().collect()
+    assert {r.region: r["count"] for r in drawn} == {"r0": 7, "r1": 3}
