@@ -158,14 +158,16 @@ def _(s, d):
     return e.withColumnRenamed("weight", "w").join(F.broadcast(e.agg(F.count("*").alias("n_edges"))))
 
 
+def _near(s, d):
+    """Pairs of events within 6 km and two years, columns of the sides prefixed."""
+    e = events(s, d).select("uid", "cx", "cy", *BOX, "mid_us", "start_us", "end_us", "area", "dataset", "class", "tree_type", "essence")
+    return spatial_join.candidate_pairs(e, 6000.0, 720)
+
+
 def _similar(s, d):
-    """Pairs of events within 6 km and two years, with their similarities."""
-    e = events(s, d).select("uid", "cx", "cy", *BOX, "mid_us", "start_us", "dataset", "class", "tree_type", "essence")
-    p = spatial_join.candidate_pairs(e, 6000.0, 720)
-    x = F.sqrt(F.pow(F.col("l_cx") - F.col("r_cx"), 2) + F.pow(F.col("l_cy") - F.col("r_cy"), 2))
-    w = lambda v, kind: profiles.pair_weight(v, F.col("l_dataset"), F.col("l_class"), F.col("r_dataset"), F.col("r_class"), kind)
-    return p.withColumn("x", x).select(
-        F.col("l_uid").alias("i"), F.col("r_uid").alias("j"), "x", "days", w(F.col("x"), "spatial").alias("spatial"), w(F.col("days").cast("double"), "temporal").alias("temporal"),
+    """The classes and trees of both sides of the pairs."""
+    return _near(s, d).select(
+        F.col("l_uid").alias("i"), F.col("r_uid").alias("j"), "days",
         F.col("l_dataset").alias("di"), F.col("l_class").alias("ci"), F.col("r_dataset").alias("dj"), F.col("r_class").alias("cj"), F.lower("l_tree_type").alias("ti"), F.lower("r_tree_type").alias("tj"), F.col("l_essence").alias("ei"), F.col("r_essence").alias("ej"),
     )
 
@@ -174,9 +176,41 @@ def _class_table(s):
     return F.broadcast(s.createDataFrame(profiles.class_similarity_rows(), "di string, ci string, dj string, cj string, class double"))
 
 
+def spatial_gaps(p, kinds, shapes):
+    """Pairs with x: the distance of centres; the radius of the entity where one side is; the mean radius over the IoU where both are.
+
+    ``kinds`` is (dataset, is_entity), ``shapes`` (uid, geometry) of the entities; only pairs of
+    entities whose boxes overlap can have an IoU and meet their geometries.
+    """
+    for side in ("l", "r"):
+        p = p.join(F.broadcast(kinds.select(F.col("dataset").alias(f"{side}_dataset"), F.col("is_entity").alias(f"{side}_entity"))), f"{side}_dataset", "left")
+    l, r = (F.coalesce(F.col(f"{side}_entity"), F.lit(False)) for side in ("l", "r"))
+    both = p.where(l & r & (planar.rect_overlap(planar.rect("l_"), planar.rect("r_")) > 0)).select("l_uid", "r_uid").distinct()
+    for side in ("l", "r"):
+        both = both.join(shapes.select(F.col("uid").alias(f"{side}_uid"), F.col("geometry").alias(f"{side}_g")), f"{side}_uid")
+    met = both.select("l_uid", "r_uid", geometry.relate("l_g", "r_g")["overlap"].alias("common"))
+    on = p.join(met, ["l_uid", "r_uid"], "left")
+    rl, rr = planar.radius_of(F.col("l_area")), planar.radius_of(F.col("r_area"))
+    common = F.coalesce("common", F.lit(0.0))
+    mean = (rl + rr) / 2
+    entities = F.when(common > 0, mean / (common / (F.col("l_area") + F.col("r_area") - common))).otherwise(mean)
+    centres = F.sqrt(F.pow(F.col("l_cx") - F.col("r_cx"), 2) + F.pow(F.col("l_cy") - F.col("r_cy"), 2))
+    return on.withColumn("x", F.when(l & r, entities).when(l, rl).when(r, rr).otherwise(centres))
+
+
+def date_gap(start_a, end_a, start_b, end_b):
+    """Mean of the gaps of starts and of ends, in days; dates are truncated to the day."""
+    day = lambda c: F.floor(c / F.lit(86_400_000_000))
+    return (F.abs(day(start_a) - day(start_b)) + F.abs(day(end_a) - day(end_b))) / 2
+
+
 @R.query("spatial_sim_k15_k17")
 def _(s, d):
-    return _similar(s, d).select("i", "j", F.round("spatial", 6).alias("spatial"), F.round("temporal", 6).alias("temporal"))
+    kinds = attribution.is_entity(events(s, d))
+    shapes = table(s, d, "reference_polygons").select(F.col("index_reference").alias("uid"), "geometry")
+    on = spatial_gaps(_near(s, d), kinds, shapes).withColumn("gap", date_gap(*(F.col(c) for c in ("l_start_us", "l_end_us", "r_start_us", "r_end_us"))))
+    w = lambda v, kind: F.round(profiles.pair_weight(F.col(v), F.col("l_dataset"), F.col("l_class"), F.col("r_dataset"), F.col("r_class"), kind), 6).alias(kind)
+    return on.select(F.col("l_uid").alias("i"), F.col("r_uid").alias("j"), w("x", "spatial"), w("gap", "temporal"))
 
 
 _CLS = " union all ".join(f"select '{a}' di, '{b}' ci, '{c}' dj, '{e}' cj, {v!r}::double v" for a, b, c, e, v in profiles.class_similarity_rows() if a in ("hm", "senfseidl") and c in ("hm", "senfseidl"))

@@ -236,3 +236,24 @@ def test_second_round_shares_by_all_that_is_left(spark):
     c = spark.range(560).selectExpr("id uid", "case when id < 400 then 'r0' when id < 550 then 'r1' else 'r2' end region", "case when id < 550 then 'c' else 'k' end `class`", "case when id < 400 then id div 2 else id end community")
     drawn = sampling.stratified(c).where("class = 'c' and round = 2").groupBy("region").count().collect()
     assert {r.region: r["count"] for r in drawn} == {"r0": 7, "r1": 3}
+
+
+def test_entities_and_date_gaps(spark):
+    from boskage.functions.geometry import write_wkb
+    from boskage.plans.analysis_queries import date_gap, spatial_gaps
+
+    square = lambda x: write_wkb([[np.array([[x, 0], [x + 2, 0], [x + 2, 2], [x, 2]], float)]])
+    sides = {"p": ("pt", 3.0, 4.0, 3.0, 4.0, 3.0, 4.0, 0.0), "q": ("pt", 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)}
+    sides |= {k: ("ent", x + 1, 1.0, x, 0.0, x + 2, 2.0, 4.0) for k, x in (("a", 0.0), ("b", 1.0), ("c", 9.0))}
+    names = ["uid", "dataset", "cx", "cy", "minx", "miny", "maxx", "maxy", "area"]
+    pairs = [("p", "q"), ("p", "a"), ("a", "q"), ("a", "b"), ("a", "c")]
+    df = spark.createDataFrame([(i, *sides[i], j, *sides[j]) for i, j in pairs], [f"{s}_{n}" for s in "lr" for n in names])
+    kinds = spark.createDataFrame([("pt", False), ("ent", True)], "dataset string, is_entity boolean")
+    shapes = spark.createDataFrame([("a", square(0.0)), ("b", square(1.0)), ("c", square(9.0))], "uid string, geometry binary")
+    got = {(r.l_uid, r.r_uid): r.x for r in spatial_gaps(df, kinds, shapes).collect()}
+    r = (4 / np.pi) ** 0.5
+    want = {("p", "q"): 5.0, ("p", "a"): r, ("a", "q"): r, ("a", "b"): r * 3, ("a", "c"): r}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    day = 86_400_000_000
+    gap = spark.range(1).select(date_gap(F.lit(5), F.lit(3 * day), F.lit(2 * day - 1), F.lit(13 * day)).alias("g")).first().g
+    assert gap == 5.5
