@@ -222,20 +222,27 @@ def _(s, d):
     return on.select("i", "j", F.round(F.coalesce("class", F.lit(0.0)), 6).alias("sim"))
 
 
+def species_agree(pairs, texts):
+    """Pairs with agree: any species of ``ei`` and any of ``ej`` have a ratio above 80; texts (essence) hold species split by commas."""
+    split = lambda c: F.transform(F.split(c, ","), F.trim)
+    species = texts.where("essence is not null").distinct().select(F.col("essence").alias("ei"), F.explode(split("essence")).alias("a"))
+    near = fuzzy.name_pairs(species, "a").where("ratio > 80").select("a", "b")
+    kin = species.join(F.broadcast(near), "a").groupBy("ei").agg(F.collect_set("b").alias("kin"))
+    return pairs.join(kin, "ei", "left").withColumn("agree", F.coalesce(F.arrays_overlap("kin", split("ej")), F.lit(False))).drop("kin")
+
+
 @R.query("tree_coherence_k18")
 def _(s, d):
-    e = _similar(s, d)
-    names = events(s, d).select(F.explode(F.split("essence", ", ")).alias("n"))
-    ratio = F.broadcast(fuzzy.name_pairs(names, "n").select(F.col("a").alias("ei"), F.col("b").alias("ej"), "ratio"))
+    e = species_agree(_similar(s, d), events(s, d).select("essence"))
     visible = [c for c in ("Fire", "Storm", "Storm,Biotic", "Other")]
     sim = (
         F.when(F.col("ci").isin(*visible) & F.col("cj").isin(*visible), 1.0)
-        .when(F.col("ratio") > 80, 1.0)
+        .when(F.col("agree"), 1.0)
         .when(F.col("ti") == F.col("tj"), 0.75)
         .when((F.col("ti") == "mixed") | (F.col("tj") == "mixed"), 0.5)
         .otherwise(0.25)
     )
-    return e.join(ratio, ["ei", "ej"], "left").select("i", "j", sim.alias("tree"))
+    return e.select("i", "j", sim.alias("tree"))
 
 
 @R.query("combined_sim_k22", "select src i, dst j, round((greatest(0, least(1, coalesce(wt,0)))*2 + greatest(0, least(1, coalesce(ws,0)))*2 + greatest(0, least(1, coalesce(we,0)))*1 + greatest(0, least(1, coalesce(wc,0)))*3)/8, 10) s from edges")

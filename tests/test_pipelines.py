@@ -257,3 +257,13 @@ def test_entities_and_date_gaps(spark):
     day = 86_400_000_000
     gap = spark.range(1).select(date_gap(F.lit(5), F.lit(3 * day), F.lit(2 * day - 1), F.lit(13 * day)).alias("g")).first().g
     assert gap == 5.5
+
+
+def test_any_pair_of_species_may_agree(spark):
+    from boskage.plans.analysis_queries import species_agree
+
+    rows = [("Oak, Norway Spruce", "Beech,norway spruce"), ("Oak", "Beech"), ("Oak", "Beech,Oak"), (None, "Oak"), ("Oak", None), ("Beech", "Beech")]
+    df = spark.createDataFrame(rows, "ei string, ej string")
+    texts = df.selectExpr("explode(array(ei, ej)) essence")
+    got = {(r.ei, r.ej): r.agree for r in species_agree(df, texts).collect()}
+    assert [got[r] for r in rows] == [True, False, True, False, False, True]
