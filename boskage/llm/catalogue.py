@@ -53,10 +53,14 @@ def p8_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.look_alike_classes(table(spark, sf_dir, "documents"))
 
 
+def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.canonical_texts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found, "p1_sample": p1_sample, "p6_found": p6_found, "p6_fill": p6_fill,
-        "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_classes": p8_classes,
+        "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_classes": p8_classes, "p8_forms": p8_forms,
     }
 
 

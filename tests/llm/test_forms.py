@@ -2,7 +2,7 @@ import random
 import unicodedata
 from itertools import combinations
 
-from boskage.llm.forms import BLANKS, INVISIBLE, LOOK_ALIKES, Normalizer, Vocabulary, table_form
+from boskage.llm.forms import BLANKS, INVISIBLE, LOOK_ALIKES, Normalizer, Vocabulary, spelling, table_form
 from boskage.llm.lookalikes import canonical_texts, look_alike_classes, look_alike_pairs
 
 WORDS = Vocabulary([("Нет", 9), ("нет", 7), ("сёстры", 3), ("ёлка", 2), ("а", 50), ("СОН", 4), ("mixеd", 9)])
@@ -19,7 +19,8 @@ def test_forms():
     assert n.form("Heт") == n.form("Нет") == n.form("Н‍ет") == "Нет"
     assert n.form("ëлка") == "ёлка" and n.form("ëлкa") == "ёлка"
     assert n.form("СОН") == "COH"  # can be read as Latin
-    assert n.form("щука") == table_form("щука")  # not in the vocabulary
+    assert n.form("щука") == n.form("щyкa") == "щука"  # not in the vocabulary: spelled by table
+    assert n.form("foo＿bar １_ｘ") == "foo_bar 1_x"
     assert n.form("e‍́") == "é"
 
 
@@ -29,13 +30,31 @@ def test_differences_that_stay():
         assert n.form(a) != n.form(b), (a, b)
 
 
-def test_vocabulary_never_changes_which_tokens_are_equal():
+def test_vocabulary_never_parts_equal_tokens():
     rng = random.Random(4)
     letters = list("нетсёлкаtecoaаоНН") + ["​", "̈", "ｅ"]
     tokens = {"".join(rng.choices(letters, k=rng.randrange(1, 5))) for _ in range(400)}
     with_words, without = Normalizer(WORDS), Normalizer()
     for a, b in combinations(sorted(tokens), 2):
-        assert (with_words.form(a) == with_words.form(b)) == (without.form(a) == without.form(b))
+        if table_form(a) == table_form(b):
+            assert with_words.form(a) == with_words.form(b) and without.form(a) == without.form(b)
+        elif spelling(table_form(a))[1] and spelling(table_form(b))[1]:
+            assert with_words.form(a) != with_words.form(b)
+
+
+def test_tokens_of_no_one_script_are_decided_by_the_automaton():
+    known, unknown = Normalizer(Vocabulary([("книга", 5), ("кино", 2)])), Normalizer()
+    for disguised in ("kнига", "κнига", "kнигa"):
+        assert known.form(disguised) == "книга" and unknown.form(disguised) != "книга"
+    assert known.form("kнигу") == unknown.form("kнигу")  # reaches no known word
+    assert known.form("kot") == "kot"  # one script can write it
+
+
+def test_pairs_need_the_automaton(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "книга и книга"), (2, "kнига и книга"), (3, "книга а книга")], "doc_id long, text string")
+    assert [tuple(r) for r in look_alike_pairs(df).collect()] == [(1, 2)]
+    monkeypatch.setattr("boskage.llm.lookalikes.count_spellings", lambda *a: [])
+    assert look_alike_pairs(df).count() == 0
 
 
 def test_form_is_stable_and_total():
