@@ -37,6 +37,10 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(_packed(spark, sf_dir), table(spark, sf_dir, "containers"))
 
 
+def p6_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.bin_check(_packed(spark, sf_dir), table(spark, sf_dir, "containers"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -59,13 +63,13 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p1_sample": p1_sample, "p6_found": p6_found, "p6_fill": p6_fill,
+        "p1_found": p1_found, "p1_sample": p1_sample, "p6_found": p6_found, "p6_fill": p6_fill, "p6_check": p6_check,
         "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_classes": p8_classes, "p8_forms": p8_forms,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p6_found": P6_SQL}
+    return {"p1_found": P1_SQL, "p6_found": P6_SQL, "p6_check": P6_CHECK_SQL}
 
 
 P1_SQL = r"""
@@ -82,3 +86,7 @@ select t.plan_id, t.class from t left join n on t.g = n.g and t.c = n.c where q
 P6_SQL = """
 select c.container_id, d.doc_id from documents d, containers c where d.text is not null and strlen(d.text) + 1 > c.capacity
 """
+P6_CHECK_SQL = """
+select c.container_id, count(*) as items, cast(sum(strlen(d.text) + 1) as bigint) as tokens, 0::bigint as overfull, 0::bigint as torn
+from documents d, containers c where d.text is not null group by 1
+"""

@@ -7,8 +7,10 @@ A document and a passage share a run of at least ``run`` words exactly if one pa
 passage occurs.  Where places are asked for, the cleaned text carries the offset of each of
 its characters in the original, and hits that overlap or touch are one span.
 
-Passages are a fixed, bounded set (checked), so the automaton is built once in each Python
-worker; the corpus is scanned where it lies, without a shuffle.
+An automaton holds passages of at most ``MOST_CHARS`` characters and is built once in each
+Python worker; more passages are divided by a hash into several automata, each with its own
+scan, which gives the same rows since a run belongs to passages one by one.  The corpus is
+scanned where it lies, without a shuffle.
 
 Defined cases: null and empty texts and texts without a time line hold nothing; passages
 shorter than ``run`` words can't be found; passages that share sentences are all reported;
@@ -18,18 +20,20 @@ texts are read whole whatever their length.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boskage.llm.forms import Normalizer
+from boskage.llm.forms import OTHER, TOKEN, Normalizer
 
 RUN = 12
-#: Most passages, and most characters of them, that the automaton may hold.
-MOST_ITEMS, MOST_CHARS = 200_000, 100_000_000
+#: Characters of passages that one automaton holds on average (about 150 MB of nodes in each Python worker).
+MOST_CHARS = 2_000_000
 
 WORD = re.compile(r"[^\W_]+")
 #: A time line with the cue number before it; digits may be misread.
@@ -114,18 +118,23 @@ def placed_words(text: str, normalizer: Normalizer) -> list[tuple[str, int, int]
     return [(m[0], line.at[m.start()], line.at[m.end() - 1] + 1) for m in WORD.finditer(_folded(line.text))]
 
 
-_PIECE = re.compile(r"\w+|[^\w]", re.S)
-
-
 def _aligned(text: str, normalizer: Normalizer) -> Mapped:
-    """The canonical form of a text with places: token by token, which composes like the whole."""
-    from boskage.llm.forms import OTHER, TOKEN
-
+    """The canonical form of a text with places: token by token, then accents composed across them."""
     line = Mapped(text).sub(TOKEN, lambda m: normalizer.token(m[0])).sub(OTHER, normalizer._other)
-    import unicodedata
-
-    whole = unicodedata.normalize("NFC", line.text)
-    return line if whole == line.text else Mapped(whole, (line.at + [len(text)] * len(whole))[: len(whole)])
+    if unicodedata.is_normalized("NFC", line.text):
+        return line
+    nfc = lambda x: unicodedata.normalize("NFC", x)
+    out, at, piece, start = [], [], "", 0
+    for k, c in enumerate([*line.text, None]):
+        if c is not None and (not piece or unicodedata.combining(c) or nfc(piece + c) != nfc(piece) + nfc(c)):
+            start = start if piece else k
+            piece += c
+            continue
+        put = nfc(piece)
+        out.append(put)
+        at += [line.at[start + min(j, len(piece) - 1)] for j in range(len(put))]
+        piece, start = c or "", k
+    return Mapped("".join(out), at)
 
 
 class Automaton:
@@ -194,13 +203,15 @@ def _automaton(items: list[tuple[int, str]], run: int) -> Automaton:
     return _BUILT[key]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", run: int = RUN, places: bool = False) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", run: int = RUN, places: bool = False, most_chars: int = MOST_CHARS) -> DataFrame:
     """(doc, item) of every document that holds a passage; with ``places`` also start_char, end_char and n_words of each span."""
     spark = docs.sparkSession
     held = items.select(F.col(item).alias("i"), F.col(passage).alias("p")).where("i is not null and p is not null")
-    size = held.agg(F.count("*").alias("n"), F.sum(F.length("p")).alias("c")).first()
-    if size["n"] > MOST_ITEMS or (size["c"] or 0) > MOST_CHARS:
-        raise ValueError(f"more than {MOST_ITEMS} passages or {MOST_CHARS} characters of them")
+    batches = max(1, -(-(held.agg(F.sum(F.length("p")).alias("c")).first()["c"] or 0) // most_chars))
+    if batches > 1:
+        held = held.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(batches)))
+        parts = [find_leaks(docs, held.where(F.col("b") == k).select(F.col("i").alias(item), F.col("p").alias(passage)), doc, text, item, passage, run, places, 1 << 62) for k in range(batches)]
+        return reduce(DataFrame.unionByName, parts)
     shared = spark.sparkContext.broadcast(sorted((r["i"], r["p"]) for r in held.collect()))
     kinds = f"`{doc}` {docs.schema[doc].dataType.simpleString()}, `{item}` {items.schema[item].dataType.simpleString()}"
     names = [doc, item, *["start_char", "end_char", "n_words"] * places]

@@ -88,7 +88,7 @@ class Shelf:
         return (int(small[best]), int(full[at[best]])) if total[best] else (0, 0)
 
 
-def best_two_fit(sizes: np.ndarray, capacity: int, rounds: int = 8) -> list[list[int]]:
+def best_two_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Containers as lists of sizes; every size is at most the capacity."""
     shelf, containers = Shelf(np.asarray(sizes, np.int64), capacity), []
     while shelf.left:
@@ -98,9 +98,7 @@ def best_two_fit(sizes: np.ndarray, capacity: int, rounds: int = 8) -> list[list
             shelf.take(size)
             heapq.heappush(own, size)
             room -= size
-        for _ in range(rounds):
-            if room == 0 or not shelf.left or not own:
-                break
+        while room and shelf.left and own:  # every replacement leaves less room
             small = own[0]
             a, b = shelf.two(room + small)
             if a + b <= small:
@@ -170,6 +168,16 @@ def pack(items: DataFrame, containers: DataFrame, item: str, size: str, containe
     return spread.repartition(max(tasks, 1), "c", "shard").groupBy("c", "shard").applyInPandas(fill, out)
 
 
+def bin_check(packed: DataFrame, containers: DataFrame, container: str = "container_id", capacity: str = "capacity", item: str = "doc_id") -> DataFrame:
+    """(container, items, tokens, overfull, torn): what the containers hold together, those over capacity, and items split though they would fit."""
+    caps = F.broadcast(containers.select(F.col(container).alias("k"), F.col(capacity).cast("long").alias("cap")).distinct())
+    bins = packed.groupBy(container, "bin_id").agg(F.sum("tokens").alias("t"), F.sum((F.col("part") == 1).cast("long")).alias("i"))
+    filled = bins.join(caps, F.col(container) == F.col("k")).groupBy(container).agg(F.sum("i").alias("items"), F.sum("t").alias("tokens"), F.sum((F.col("t") > F.col("cap")).cast("long")).alias("overfull"))
+    whole = packed.groupBy(container, item).agg(F.sum("tokens").alias("t"), F.max("n_parts").alias("p"))
+    torn = whole.join(caps, F.col(container) == F.col("k")).groupBy(F.col(container).alias("k2")).agg(F.sum(((F.col("p") > 1) & (F.col("t") <= F.col("cap"))).cast("long")).alias("torn"))
+    return filled.join(torn, F.col(container) == F.col("k2")).select(container, "items", "tokens", "overfull", "torn")
+
+
 def fill_report(packed: DataFrame, containers: DataFrame, container: str = "container_id", capacity: str = "capacity") -> DataFrame:
     """(container, bins, tokens, fill): containers used, tokens in them, and the share of their room that is filled."""
     own = packed.groupBy(container).agg(F.countDistinct("bin_id").alias("bins"), F.sum("tokens").alias("tokens"))

@@ -66,3 +66,13 @@ def test_operator(spark):
     text = docs[3][1]
     assert {(r.item_id, text[r.start_char : r.end_char], r.n_words) for r in spans} == {(7, PASSAGE[:-1], 19), (8, PASSAGE[:-1], 19)}
     assert find_leaks(df, items.limit(0)).count() == 0 and find_leaks(df.limit(0), items).count() == 0
+    # several automata give the rows of one
+    for places in (False, True):
+        one, several = (sorted(map(tuple, find_leaks(df, items, places=places, most_chars=n).collect()), key=str) for n in (1 << 30, 60))
+        assert one == several and one
+
+
+def test_places_where_accents_compose_across_tokens():
+    text = file("Q" + chr(0x301) + " 1" + chr(0x308) + chr(0x2126) + " Ａ. e" + chr(0x301) + "tat", "«" + chr(0x338) + "» A" + chr(0x30A) + " " + PASSAGE + " <" + chr(0x338) + " then " + PASSAGE)
+    a = Automaton([(7, PASSAGE)])
+    assert [(text[start:end], n) for _, start, end, n in a.spans(text)] == [(PASSAGE[:-1], 19)] * 2

@@ -2,7 +2,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from boskage.llm.packing import best_two_fit, byte_tokens, fill_report, pack
+from boskage.llm.packing import best_two_fit, bin_check, byte_tokens, fill_report, pack
 
 
 @settings(max_examples=200, deadline=None)
@@ -44,3 +44,5 @@ def test_operator(spark):
     report = {r.container_id: r for r in fill_report(pack(docs, kinds, "doc_id", "size"), kinds).collect()}
     assert report[1].tokens == report[2].tokens == sum(size.values()) and report[2].fill > 0.97
     assert pack(docs.limit(0), kinds, "doc_id", "size").count() == 0 and pack(docs, kinds.limit(0), "doc_id", "size").count() == 0
+    checked = {r.container_id: tuple(r)[1:] for r in bin_check(pack(docs, kinds, "doc_id", "size"), kinds).collect()}
+    assert checked == {c: (len(size), sum(size.values()), 0, 0) for c in (1, 2)}
