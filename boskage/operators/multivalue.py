@@ -1,15 +1,17 @@
 """Fields that pack several values: one row for each value, with its position.
 
 A quote-aware finite-state tokenizer walks a field once.  Its states are *between*
-values, in a *plain* value and in a *quoted* value; it keeps the depth of brackets,
-steps over escaped and doubled quotes, and emits a value whenever a delimiter stands
-outside quotes and brackets.  A name from a reference list is one value whatever it
+values, in a *plain* value and in a *quoted* stretch, which may be all or part of a value;
+it keeps the depth of brackets, steps over escaped and doubled quotes and over delimiters
+escaped by a backslash, and emits a value whenever a delimiter stands outside quotes and
+brackets.  A name from a reference list is one value whatever it
 contains: at the start of a value the longest listed name that a delimiter or the end
 follows is taken whole.
 
 Defined cases: null and blank fields have no value; empty pieces don't count, repeated
 values do; a field wholly in one pair of quotes or list brackets is opened first; a
-quote that is never closed is an ordinary character; text of any length is read whole.
+quote that is never closed is an ordinary character, and so is one within a word; the
+backslash of an escaped delimiter is left out; text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -34,10 +36,14 @@ DELIMITER = re.compile(rf"[{_CHARS}]|(?<=\s)(?:[-–—]|(?i:{_WORDS}))(?=\s)|(?
 #: What may follow a listed name for it to be the whole value.
 BOUNDARY = re.compile(rf"\s*(?:\Z|[{_CHARS}\]}})])|\s+(?:[-–—]|(?i:{_WORDS}))\s|\s+{_NUMBER}\s")
 NUMBERING = re.compile(rf"{_NUMBER}\s*")
-#: Where the plain state has to look: delimiters and brackets.
-STOP = re.compile(rf"[()\[\]{{}}]|{DELIMITER.pattern}")
-#: The same test for the JVM: fields it rejects can't hold two values.
-MAYBE_SEVERAL = rf"[,;|/&+·•\t\n\r\x0B\f]|\s[-–—]\s|(?i)\s({_WORDS})\s|\d[.)]\s"
+#: Where the plain state has to look: escapes, quotes that may open after a blank or bracket, delimiters and brackets.
+STOP = re.compile(rf"\\[{_CHARS}\\]|(?<=[\s(\[{{])[{re.escape(''.join(QUOTES))}]|[()\[\]{{}}]|{DELIMITER.pattern}")
+#: What may follow a quote that closes within a value.
+_CLOSED = re.compile(rf"\s|\Z|[{_CHARS}()\[\]{{}}]")
+ESCAPED = re.compile(rf"\\([{_CHARS}])")
+_BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: A test for the JVM that is wider than the tokenizer: fields it rejects can't hold two values.
+MAYBE_SEVERAL = rf"[,;|/&+·•\t\n\r\x0B\f()\[\]{{}}]|{_BLANK}[-–—]|(?i){_BLANK}({_WORDS}){_BLANK}|(?U)\d[.)]"
 
 
 def lower(text: str) -> str:
@@ -101,20 +107,23 @@ class Tokenizer:
 
     def _open(self, text: str) -> str:
         """The field without the quotes or list brackets that enclose all of it."""
-        for _ in range(8):
-            text = text.strip()
-            if not text:
-                break
-            if text[0] in QUOTES:
-                end = self._quote_end(text, 0)
-            elif text[0] in "[{":
-                end = self._partners(text).get(0, -1)
+        text = text.strip()
+        low, high, partners = 0, len(text), self._partners(text)
+        while low < high:
+            if text[low] in QUOTES:
+                end = self._quote_end(text, low)
+            elif text[low] in "[{":
+                end = partners.get(low, -1)
             else:
                 break
-            if end != len(text) - 1:
+            if end != high - 1:
                 break
-            text = text[1:-1]
-        return text
+            low, high = low + 1, high - 1
+            while low < high and text[low].isspace():
+                low += 1
+            while low < high and text[high - 1].isspace():
+                high -= 1
+        return text[low:high]
 
     def _clean(self, value: str) -> str:
         """A value without surrounding blanks, quotes, brackets and numbering; a listed name as listed."""
@@ -130,7 +139,7 @@ class Tokenizer:
             elif m := NUMBERING.match(value):
                 value = value[m.end() :]
             else:
-                return value
+                return ESCAPED.sub(r"\1", value)
 
     def split(self, field: str | None) -> list[str]:
         if field is None:
@@ -138,6 +147,7 @@ class Tokenizer:
         text = self._open(field)
         low, size, i, values = lower(text), len(text), 0, []
         partners, unclosed = self._partners(text), set()
+        closers = set(partners.values())
 
         def emit(piece: str) -> None:
             if value := self._clean(piece):
@@ -167,9 +177,20 @@ class Tokenizer:
             depth = 0  # plain, or what follows a closed quote
             while m := STOP.search(text, i):
                 i = m.end()
-                if (c := m[0]) in BRACKETS:
+                if (c := m[0])[0] == "\\":
+                    continue
+                if c in QUOTES:
+                    end = -1 if c in unclosed else self._quote_end(text, m.start())
+                    if end < 0:
+                        unclosed.add(c)
+                    elif _CLOSED.match(text, end + 1):
+                        i = end + 1
+                elif c in BRACKETS:
                     depth += m.start() in partners
                 elif c in (")", "]", "}"):
+                    if depth == 0 and m.start() in closers:  # of a list that opened before the value
+                        emit(text[start : m.start()])
+                        break
                     depth = max(0, depth - 1)
                 elif depth == 0:
                     emit(text[start : m.start()])

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from boskage.operators.multivalue import Tokenizer, split_values
@@ -30,6 +32,13 @@ NAMES = ["Yew", "Box", "Pine, Aleppo", "Oak | mixed coppice", "Ash (common, narr
         ('"open, Box', ["open", "Box"]),
         ("- Yew", ["Yew"]),
         ("Hop-hornbeam", ["Hop-hornbeam"]),
+        ('Pin "noir, sylvestre", Box', ['Pin "noir, sylvestre"', "Box"]),
+        ("orme d'Alep, if 'a, b'", ["orme d'Alep", "if 'a, b'"]),
+        (r"pin\, noir; Box", ["pin, noir", "Box"]),
+        ('[' * 10 + '"a,b"' + ']' * 10, ["a", "b"]),
+        ("Ch\xeane\xa0-\xa0H\xeatre", ["Ch\xeane", "H\xeatre"]),
+        ("Ch\xeane\u3000et\xa0H\xeatre", ["Ch\xeane", "H\xeatre"]),
+        ("[Ch\xeane][H\xeatre]", ["Ch\xeane", "H\xeatre"]),
     ],
 )
 def test_fields(field, values):
@@ -50,3 +59,12 @@ def test_operator(spark):
     assert got == sorted([(1, 1, "Yew"), (1, 2, "Box")] * 2 + [(None, 1, "Yew"), (None, 2, "Box"), (None, 3, "Yew")], key=repr)
     assert split_values(df, "id", "essence", NAMES).count() == 8
     assert split_values(df.limit(0), "id", "essence").count() == 0
+
+
+def test_filter_is_wider_than_the_tokenizer(spark):
+    rng = random.Random(5)
+    pool = ["Yew", "Pine, Aleppo", "x", "1", "\u0663", "et", "AND", "-", "\u2014", " ", " ", "\xa0", "\u3000", "\x85", "\x1d", "\t", ",", ".", ")", "(", "[", "]", '"', "'", "\xab", "\xbb", "\\", "/"]
+    texts = sorted({"".join(rng.choices(pool, k=rng.randrange(2, 9))) for _ in range(20_000)})
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, v string")
+    got = {r.id for r in split_values(df, "id", "v", NAMES, at_least=2).select("id").distinct().collect()}
+    assert got == {i for i, v in enumerate(texts) if len(Tokenizer(NAMES).split(v)) > 1}
