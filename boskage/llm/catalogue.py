@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boskage.llm import leaks, lookalikes, packing, proportions
-from boskage.session import table
+from boskage.session import stable, table
 
 
 def _allocation(spark: SparkSession, sf_dir: str):
@@ -14,14 +14,29 @@ def _allocation(spark: SparkSession, sf_dir: str):
     return sampled, proportions.allocate(sampled, table(spark, sf_dir, "sample_targets"))
 
 
+def _drawn(spark: SparkSession, sf_dir: str):
+    sampled, _ = _allocation(spark, sf_dir)
+    sampled = stable(sampled)  # read by the counts of cells, the histogram and the draw
+    allocation = stable(proportions.allocate(sampled, table(spark, sf_dir, "sample_targets")))
+    return proportions.draw(sampled, allocation), allocation
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, allocation = _allocation(spark, sf_dir)
     return proportions.report(allocation).where("quota > allocated").select("plan_id", "class")
 
 
 def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sampled, allocation = _allocation(spark, sf_dir)
-    return proportions.draw(sampled, allocation).select("plan_id", F.col("c").alias("class"), F.col("u").alias("record_id"), F.col("r").alias("row_id"))
+    drawn, _ = _drawn(spark, sf_dir)
+    return drawn.select("plan_id", F.col("c").alias("class"), F.col("u").alias("record_id"), F.col("r").alias("row_id"))
+
+
+def p1_class_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proportions.class_margins(_drawn(spark, sf_dir)[0])
+
+
+def p1_feed_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return proportions.second_margins(*_drawn(spark, sf_dir))
 
 
 def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,26 +78,34 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p1_sample": p1_sample, "p6_found": p6_found, "p6_fill": p6_fill, "p6_check": p6_check,
+        "p1_found": p1_found, "p1_sample": p1_sample, "p1_class_margins": p1_class_margins, "p1_feed_margins": p1_feed_margins, "p6_found": p6_found, "p6_fill": p6_fill, "p6_check": p6_check,
         "p7_found": p7_found, "p7_spans": p7_spans, "p8_found": p8_found, "p8_classes": p8_classes, "p8_forms": p8_forms,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p6_found": P6_SQL, "p6_check": P6_CHECK_SQL}
+    return {"p1_found": P1_SQL, "p1_class_margins": P1_CLASS_SQL, "p1_feed_margins": P1_FEED_SQL, "p6_found": P6_SQL, "p6_check": P6_CHECK_SQL}
 
 
-P1_SQL = r"""
+_P1_PARTS = r"""
 with r as (
-  select lower(regexp_replace(dataset, '^\s+|\s+$', '', 'g')) g, translate(lower(regexp_replace(class, '^\s+|\s+$', '', 'g')), ' _', '--') c, record_id
+  select lower(regexp_replace(dataset, '^\s+|\s+$', '', 'g')) g, translate(lower(regexp_replace(class, '^\s+|\s+$', '', 'g')), ' _', '--') c, record_id, feed_id, loaded_at, row_id
   from group_sample),
 n as (select g, c, count(distinct record_id) n from r where g is not null and c is not null group by 1, 2),
 t as (
   select plan_id, class, lower(regexp_replace(dataset, '^\s+|\s+$', '', 'g')) g, translate(lower(regexp_replace(class, '^\s+|\s+$', '', 'g')), ' _', '--') c,
     greatest(coalesce(min_keep, 0), coalesce((cast(target_permille as bigint) * sample_size + 999) // 1000, 0)) q
-  from sample_targets)
+  from sample_targets)"""
+P1_SQL = _P1_PARTS + """
 select t.plan_id, t.class from t left join n on t.g = n.g and t.c = n.c where q > coalesce(n, 0)
 """
+P1_CLASS_SQL = _P1_PARTS + """
+select t.plan_id, t.c as class, cast(least(max(q), max(n)) as bigint) as drawn from t join n on t.g = n.g and t.c = n.c group by 1, 2 having least(max(q), max(n)) > 0
+"""
+P1_FEED_SQL = _P1_PARTS + """,
+u as (select g, c, record_id, arg_max(struct_pack(s := feed_id), struct_pack(a := loaded_at, b := row_id)).s s from r where g is not null and c is not null and record_id is not null group by 1, 2, 3)
+select distinct t.plan_id, cast(u.s as varchar) as second, true as held from t join u on t.g = u.g and t.c = u.c
+"""
 P6_SQL = """
 select c.container_id, d.doc_id from documents d, containers c where d.text is not null and strlen(d.text) + 1 > c.capacity
 """

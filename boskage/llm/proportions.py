@@ -8,9 +8,10 @@ ceiling of its own sum.  Each cell then takes exactly its quota of sampling unit
 the smallest random keys.
 
 Plans are rounded independently, each from one small table of cells, so nothing but cell
-counts is gathered.  The draw never sorts a cell: a histogram of key buckets, aggregated
-before the shuffle, tells which buckets are taken whole and in which one bucket the rest is
-ranked, so a cell may hold any share of all rows.
+counts is gathered.  The draw never sorts a cell: a histogram of key buckets, as many as the
+cell needs and aggregated before the shuffle, gives the bucket where the cell's quota ends.
+Units below it are taken and units beyond it dropped before any shuffle; only those of that
+one bucket are ranked, so a cell may hold any share of all rows.
 
 Defined cases: a quota above what is there is cut to what is there and reported as not met;
 a null class or plan in the targets matches nothing; units without a key aren't drawn; a
@@ -32,8 +33,8 @@ from boskage.session import stable
 MOST_TARGETS = 100_000
 #: Most cells that are; beyond, they are joined by a shuffle.
 MOST_CELLS = 1_000_000
-#: Buckets of random keys per cell in the draw.
-BUCKETS = 4096
+#: Units that a bucket of random keys should hold in the draw.
+BUCKET_UNITS = 2_000
 
 
 def name_key(column: str) -> Column:
@@ -117,14 +118,14 @@ def wanted(targets: DataFrame) -> DataFrame:
 
 
 def allocate(sampled: DataFrame, targets: DataFrame) -> DataFrame:
-    """(plan_id, class, g, c, s, quota, available, take) for each target and value of the second attribute.
+    """(plan_id, class, g, c, s, t, quota, n, available, take) for each target ``t`` and value of the second attribute.
 
-    ``sampled`` is the result of ``units``.  A target without any unit has one row with a
-    null s and takes nothing.
+    ``sampled`` is the result of ``units``, n the units of a cell.  A target without any unit
+    has one row with a null s and takes nothing.
     """
     if targets.limit(MOST_TARGETS + 1).count() > MOST_TARGETS:
         raise ValueError(f"more than {MOST_TARGETS} targets")
-    want = wanted(targets)
+    want = wanted(targets).withColumn("t", F.row_number().over(Window.partitionBy("plan_id").orderBy("class", "quota", "g")))
     groups = want.select("g", "c").where("g is not null and c is not null").distinct()
     cells = sampled.join(F.broadcast(groups), ["g", "c"], "left_semi").groupBy("g", "c", "s").agg(F.count("*").alias("n"))
     table = want.join(cells, ["g", "c"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -152,42 +153,61 @@ def allocate(sampled: DataFrame, targets: DataFrame) -> DataFrame:
             for i in places:
                 plan.loc[i, "available"] = there
                 plan.loc[i, "take"] = rounded[r][seconds[text(plan.s[i])]]
-        return plan[["plan_id", "class", "g", "c", "s", "quota", "available", "take"]]
+        return plan[["plan_id", "class", "g", "c", "s", "t", "quota", "n", "available", "take"]]
 
     kind = targets.schema["plan_id"].dataType.simpleString()
     return table.groupBy("plan_id").applyInPandas(
-        solve, f"plan_id {kind}, class string, g string, c string, s string, quota bigint, available bigint, take bigint"
+        solve, f"plan_id {kind}, class string, g string, c string, s string, t int, quota bigint, n bigint, available bigint, take bigint"
     )
 
 
 def report(allocation: DataFrame) -> DataFrame:
     """(plan_id, class, quota, available, allocated): one row per target; not met where quota > allocated."""
-    return allocation.groupBy("plan_id", "class", "g", "c", "quota").agg(F.max("available").alias("available"), F.sum("take").alias("allocated")).select(
-        "plan_id", "class", "quota", "available", F.least("quota", "allocated").alias("allocated")
-    )
+    summed = allocation.groupBy("plan_id", "t", "class", "quota").agg(F.max("available").alias("available"), F.sum("take").alias("allocated"))
+    return summed.select("plan_id", "class", "quota", "available", F.least("quota", "allocated").alias("allocated"))
 
 
-def draw(sampled: DataFrame, allocation: DataFrame, seed: int = 11) -> DataFrame:
+def draw(sampled: DataFrame, allocation: DataFrame, seed: int = 11, bucket_units: int = BUCKET_UNITS) -> DataFrame:
     """(plan_id, c, s, u, r): exactly ``take`` units of every cell, those with the smallest random keys.
 
     The key is a hash of plan, unit and seed (ties by unit), so a draw can be repeated.
     """
-    cells = stable(allocation.where("take > 0").groupBy("plan_id", "g", "c", "s").agg(F.max("take").alias("take")))
-    cells = (F.broadcast(cells) if cells.count() <= MOST_CELLS else cells).alias("k")
-    rows = sampled.alias("x")
-    keyed = rows.join(cells, F.expr("x.g = k.g and x.c = k.c and x.s <=> k.s")).select(
-        "plan_id", "k.g", "k.c", "k.s", "u", "r", "take", F.xxhash64("plan_id", "u", F.lit(seed)).bitwiseXOR(F.lit(-(2**63))).alias("key")
-    )
-    # the top bits of the key, taken as unsigned, in the order of the keys
-    keyed = keyed.withColumn("bucket", F.shiftright("key", 64 - BUCKETS.bit_length() + 1))
+    bits = F.greatest(F.lit(4), F.least(F.lit(40), F.ceil(F.log2(F.col("n") / bucket_units)).cast("int")))
     cell = ["plan_id", "g", "c", "s"]
-    histogram = keyed.groupBy(*cell, "bucket").agg(F.count("*").alias("n"), F.first("take").alias("take"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*cell).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    part = histogram.withColumn("before", before).where("before < take").select(*cell, "bucket", (F.col("take") - F.col("before")).alias("left"), "n")
-    same = " and ".join(f"x.{c} <=> p.{c}" for c in [*cell, "bucket"])
-    hit = keyed.alias("x").join(part.alias("p"), F.expr(same)).select(*(f"x.{c}" for c in [*cell, "bucket", "u", "r", "key"]), "left", "n")
-    whole = hit.where("n <= left")
-    w = Window.partitionBy(*cell, "bucket").orderBy("key", "u")
-    ranked = hit.where("n > left").withColumn("rank", F.row_number().over(w)).where("rank <= left")
+    # two targets of one class share its cells, so the greatest take is that of both
+    cells = stable(allocation.where("take > 0").groupBy(*cell).agg(F.max("take").alias("take"), F.max("n").alias("n")).withColumn("bits", bits))
+    few = cells.count() <= MOST_CELLS
+
+    def keyed(cells: DataFrame) -> DataFrame:
+        k = (F.broadcast(cells) if few else cells).alias("k")
+        rows = sampled.alias("x").join(k, F.expr("x.g = k.g and x.c = k.c and x.s <=> k.s"))
+        rows = rows.select("k.*", "u", "r", F.xxhash64("plan_id", "u", F.lit(seed)).bitwiseXOR(F.lit(-(2**63))).alias("key"))
+        # the top bits of the key in the order of the keys
+        return rows.withColumn("bucket", F.expr("shiftright(key, 64 - bits)"))
+
+    counted = keyed(cells).groupBy(*cell, "bucket").agg(F.count("*").alias("units"), F.first("take").alias("take"))
+    before = F.coalesce(F.sum("units").over(Window.partitionBy(*cell).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = counted.withColumn("before", before).where("before < take and before + units >= take").select(*cell, F.col("bucket").alias("last"), (F.col("take") - F.col("before")).alias("rest"))
+    same = " and ".join(f"k.{c} <=> l.{c}" for c in cell)
+    # one row for each cell: where its quota ends
+    ends = stable(cells.alias("k").join(last.alias("l"), F.expr(same)).select("k.plan_id", "k.g", "k.c", "k.s", "bits", "last", "rest"))
+    hit = keyed(ends).where("bucket <= last")
+    ranked = hit.where("bucket = last").withColumn("rank", F.row_number().over(Window.partitionBy(*cell).orderBy("key", "u"))).where("rank <= rest")
     cols = ["plan_id", "c", "s", "u", "r"]
-    return whole.select(*cols).unionByName(ranked.select(*cols))
+    return hit.where("bucket < last").select(*cols).unionByName(ranked.select(*cols))
+
+
+def class_margins(drawn: DataFrame) -> DataFrame:
+    """(plan_id, class, drawn): units drawn of each class."""
+    return drawn.groupBy("plan_id", F.col("c").alias("class")).agg(F.count("*").alias("drawn"))
+
+
+def second_margins(drawn: DataFrame, allocation: DataFrame) -> DataFrame:
+    """(plan_id, second, held): whether each value of the second attribute has the floor or ceiling of its share."""
+    fraction = F.least("quota", "available") * F.col("n") / F.col("available")
+    cells = allocation.where("n > 0").groupBy("plan_id", "g", "c", "s").agg(F.max(fraction).alias("x"))
+    shares = cells.groupBy("plan_id", F.col("s").alias("second")).agg(F.sum("x").alias("x"))
+    own = drawn.groupBy(F.col("plan_id").alias("p"), "s").agg(F.count("*").alias("k"))
+    k = F.coalesce("k", F.lit(0))
+    joined = shares.join(own, F.expr("plan_id <=> p and second <=> s"), "left")
+    return joined.select("plan_id", "second", ((k >= F.floor(F.col("x") - 1e-6)) & (k <= F.ceil(F.col("x") + 1e-6))).alias("held"))

@@ -6,7 +6,7 @@ from fractions import Fraction
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from boskage.llm.proportions import allocate, controlled_rounding, draw, report, units
+from boskage.llm.proportions import allocate, class_margins, controlled_rounding, draw, report, second_margins, units
 
 
 @settings(max_examples=200, deadline=None)
@@ -61,7 +61,20 @@ def test_sample(spark):
     stratum = Counter(r.s for r in drawn if (r.plan_id, r.c) == (1, "clear-cut"))
     cells = Counter(r.s for r in sampled.where("c = 'clear-cut'").collect())
     assert all(abs(stratum[s] - 70 * n / there["clear-cut"]) < 1 for s, n in cells.items())
-    assert sorted(map(tuple, draw(sampled, allocation).collect()), key=str) == sorted(map(tuple, drawn), key=str)
+    for size in (1, 50, 10**9):
+        assert sorted(map(tuple, draw(sampled, allocation, bucket_units=size).collect()), key=str) == sorted(map(tuple, drawn), key=str)
+    again = draw(sampled, allocation)
+    assert {(r.plan_id, r["class"]): r.drawn for r in class_margins(again).collect()} == Counter((r.plan_id, r.c) for r in drawn)
+    assert all(r.held for r in second_margins(again, allocation).collect())
+
+
+def test_repeated_targets_are_reported_one_by_one(spark):
+    df = spark.range(5).selectExpr("id row_id", "id record_id", "'hm' dataset", "'Fire' `class`", "1 feed_id", "timestamp_ntz'2024-01-01' loaded_at")
+    sampled = units(df, "record_id", "dataset", "class", "feed_id", "loaded_at", "row_id")
+    targets = spark.createDataFrame([(1, "hm", 10, "Fire", 1000, 0), (1, "hm", 10, "Fire", 1000, 0), (1, "hm", 10, "fire", 300, 0)], TARGET)
+    allocation = allocate(sampled, targets)
+    assert sorted(tuple(r) for r in report(allocation).collect()) == [(1, "Fire", 10, 5, 5), (1, "Fire", 10, 5, 5), (1, "fire", 3, 5, 3)]
+    assert draw(sampled, allocation).count() == 5
 
 
 def test_a_hot_cell_is_drawn_exactly(spark):
