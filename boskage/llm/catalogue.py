@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boskage.llm import leaks, lookalikes, packing, proportions
+from boskage.llm import forms, leaks, lookalikes, packing, proportions
 from boskage.session import stable, table
 
 
@@ -84,7 +86,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_SQL, "p1_class_margins": P1_CLASS_SQL, "p1_feed_margins": P1_FEED_SQL, "p6_found": P6_SQL, "p6_check": P6_CHECK_SQL}
+    return {"p1_found": P1_SQL, "p1_class_margins": P1_CLASS_SQL, "p1_feed_margins": P1_FEED_SQL, "p6_found": P6_SQL, "p6_check": P6_CHECK_SQL, "p7_found": P7_SQL, "p8_found": P8_SQL, "p8_classes": P8_CLASSES_SQL}
 
 
 _P1_PARTS = r"""
@@ -113,3 +115,42 @@ P6_CHECK_SQL = """
 select c.container_id, count(*) as items, cast(sum(strlen(d.text) + 1) as bigint) as tokens, 0::bigint as overfull, 0::bigint as torn
 from documents d, containers c where d.text is not null group by 1
 """
+
+
+def _translate(text: str, pairs: dict[str, str], gone: str = "") -> str:
+    pairs = {a: b for a, b in pairs.items() if len(a) == len(b) == 1}
+    old, new = ("".join(x).replace("'", "''") for x in (pairs, pairs.values()))
+    return f"translate({text}, '{old}{gone}', '{new}')"
+
+
+def _form_sql(text: str) -> str:
+    """The table form by two translations: of single letters, and of letters composed with an accent."""
+    nfd, nfc = (lambda x, k=k: unicodedata.normalize(k, x) for k in ("NFD", "NFC"))
+    composed = {c: nfc(forms.LOOK_ALIKES[nfd(c)[0]] + nfd(c)[1:]) for c in map(chr, range(0x370, 0x2000)) if len(nfd(c)) > 1 and nfd(c)[0] in forms.LOOK_ALIKES}
+    first = {**forms.WIDE, **dict.fromkeys(forms.BLANKS, " "), **forms.LOOK_ALIKES}
+    return f"nfc_normalize({_translate(f'nfc_normalize({_translate(text, first, forms.INVISIBLE)})', composed)})"
+
+
+_P8_FORMS = f"with f as (select doc_id, text, md5({_form_sql('text')}) as form from documents where text is not null)"
+P8_SQL = _P8_FORMS + """
+select a.doc_id as doc_id_a, b.doc_id as doc_id_b from f a join f b on a.form = b.form and a.doc_id < b.doc_id and a.text <> b.text
+"""
+P8_CLASSES_SQL = _P8_FORMS + """
+select doc_id, min(doc_id) over (partition by form) as class_id, n_texts
+from f join (select form, count(distinct text) as n_texts from f group by 1) using (form)
+"""
+_FOLDED = "".join(map(chr, leaks._FOLD)), "".join(leaks._FOLD.values())
+_NUMBER_LINE = r"(?:[^\S\n]*[0-9lioszb|]{1,9}[^\S\n]*\n)?"
+P7_SQL = rf"""
+with d as (select doc_id, replace(replace(lower({_form_sql('text')}), chr(13) || chr(10), chr(10)), chr(13), chr(10)) as t from documents where text is not null),
+c as (select doc_id, regexp_replace(t, '(?m)^{_NUMBER_LINE}[^\n]*?-->[^\n]*$', chr(1), 'g') as t from d),
+a as (select doc_id, regexp_replace(t[strpos(t, chr(1)):], '\n{_NUMBER_LINE}[^\S\n]*[0-9lo]{{2}}:[0-9lo:,. -]*\z', '') as t from c where strpos(t, chr(1)) > 0),
+b as (select doc_id, regexp_replace(regexp_replace(t, '<[^<>\n\x01]*>|\{{[^{{}}\n\x01]*\}}', '', 'g'), '\[[^\[\]\x01]*\]|\([^()\x01]*\)', ' ', 'g') as t from a),
+w as (
+  select 'd' as kind, doc_id as id, regexp_extract_all(translate(t, '{_FOLDED[0]}', '{_FOLDED[1]}'), '[\p{{L}}\p{{N}}]+') as l from b
+  union all
+  select 'i', item_id, regexp_extract_all(translate(lower({_form_sql('passage')}), '{_FOLDED[0]}', '{_FOLDED[1]}'), '[\p{{L}}\p{{N}}]+') from eval_items where passage is not null),
+n as (select kind, id, l, unnest(range(1, len(l) - 10)) as k from w where len(l) >= 12),
+g as (select distinct kind, id, array_to_string(l[k:k + 11], ' ') as gram from n)
+select distinct x.id as doc_id, y.id as item_id from g x join g y on x.gram = y.gram and x.kind = 'd' and y.kind = 'i'
+"""
