@@ -1,13 +1,17 @@
 """All pairs of locations within a radius, by Voronoi cells and vantage-point trees.
 
 Rows are first reduced to distinct locations, so a place that holds a third of all rows is
-one location.  Pivots are a bounded sample of the locations; each location belongs to the
-cell of its nearest pivot.  For a query location q at distance d0 from its nearest pivot,
-only cells whose pivot p has d(q, p) <= d0 + 2r can hold a partner (triangle inequality), so
-q is copied to just those.  Each cell builds a vantage-point tree of its own locations and
-answers its queries in blocks.  Cells with many locations are divided by a hash of the
-location, and queries copied to every part.  Pairs of locations are then joined back to the
-rows of both sides by equality.
+one location.  Pivots are a sample of the locations, in proportion to them up to a bound, and
+at most one in every square of twice the radius, so cells don't get smaller than what a query
+has to look at.  Pivots are held in two levels: a location belongs to the nearest pivot of the
+group of its nearest top pivot.  For a query q and a set of pivots of which the nearest lies
+at d0, a partner within r can only be in cells whose pivot p has d(q, p) <= d0 + 2r (triangle
+inequality, at either level), and only where d(q, p) <= r + the distance of the cell's
+farthest location; q is copied to just those.  Each cell builds a vantage-point tree of its
+own locations and answers its queries in blocks.  A cell with more locations or queries than a
+task should hold has them divided by hash; since such a cell is about as small as the radius,
+its queries have partners in every part, so the copies stay in proportion to the pairs.
+Pairs of locations are then joined back to the rows of both sides by equality.
 
 The metric is the plane's (``plane``, coordinates in metres) or the sphere's
 (``great_circle``, longitude and latitude in degrees, radius in metres).
@@ -23,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boskage.functions.wkt import locations
+from boskage.session import bounded_rows, stable
 
 EARTH = 6371008.8
 LEAF = 48
@@ -84,71 +89,149 @@ class VantageTree:
         return (np.concatenate(qs), np.concatenate(ps)) if qs else (np.zeros(0, int), np.zeros(0, int))
 
 
-def cells_of(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, metric: str, reach: float | None):
-    """Nearest pivot of each point, or with ``reach`` all (point, pivot) within 2 * reach of the nearest."""
-    rows, cells = [], []
-    step = max(1, 2_000_000 // max(1, len(px)))
-    for a in range(0, len(x), step):
-        d = distance(metric, x[a : a + step, None], y[a : a + step, None], px, py)
-        if reach is None:
-            rows.append(np.arange(a, a + len(d)))
-            cells.append(d.argmin(1))
-        else:
-            i, j = np.nonzero(d <= d.min(1)[:, None] + 2 * reach + 1e-6)
-            rows.append(i + a)
-            cells.append(j)
-    return np.concatenate(rows) if rows else np.zeros(0, int), np.concatenate(cells) if cells else np.zeros(0, int)
-
-
-def near_locations(
-    left: DataFrame, right: DataFrame, radius: float, metric: str = "plane", pivots: int = 1024, part: int = 20_000, cell: int = 500
-) -> DataFrame:
+class Pivots:
+    """Pivots in two levels: tops, and the pivots nearest to each of them."""
+
+    #: Up to this many pivots one level serves.
+    FEW = 64
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, metric: str, apart: float = 0.0) -> None:
+        self.metric = metric
+        if apart > 0 and len(x):
+            # no more than one pivot in a square (on the sphere a cube) of that width
+            if metric == "plane":
+                at = np.column_stack([x, y])
+            else:
+                lon, lat = np.radians(x), np.radians(y)
+                at = EARTH * np.column_stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
+            _, first = np.unique(np.floor(at / apart).astype(np.int64), axis=0, return_index=True)
+            x, y = x[np.sort(first)], y[np.sort(first)]
+        tops = len(x) if len(x) <= self.FEW else int(np.ceil(np.sqrt(len(x))))
+        self.tx, self.ty = x[:tops], y[:tops]
+        group = np.arange(tops) if tops == len(x) else self._nearest(x, y, self.tx, self.ty)[0]
+        order = np.argsort(group, kind="stable")
+        self.x, self.y = x[order], y[order]
+        self.start = np.searchsorted(group[order], np.arange(tops + 1))
+
+    def _blocks(self, n: int, m: int) -> Iterator[slice]:
+        step = max(1, 2_000_000 // max(1, m))
+        return (slice(a, a + step) for a in range(0, n, step))
+
+    def _nearest(self, x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, far = np.zeros(len(x), np.int64), np.zeros(len(x))
+        for own in self._blocks(len(x), len(px)):
+            d = distance(self.metric, x[own, None], y[own, None], px, py)
+            at[own] = d.argmin(1)
+            far[own] = d[np.arange(len(d)), at[own]]
+        return at, far
+
+    def _reached(self, x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rows, pivots, far = [], [], []
+        for own in self._blocks(len(x), len(px)):
+            d = distance(self.metric, x[own, None], y[own, None], px, py)
+            i, j = np.nonzero(d <= d.min(1)[:, None] + 2 * radius + 1e-6)
+            rows.append(i + own.start)
+            pivots.append(j)
+            far.append(d[i, j])
+        empty = np.zeros(0, np.int64)
+        return np.concatenate([empty, *rows]), np.concatenate([empty, *pivots]), np.concatenate([np.zeros(0), *far])
+
+    @staticmethod
+    def _runs(at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each value with the places where it stands."""
+        order = np.argsort(at, kind="stable")
+        values, first = np.unique(at[order], return_index=True)
+        for v, own in zip(values, np.split(order, first[1:])):
+            yield int(v), own
+
+    def homes(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cell of each location and the distance to its pivot."""
+        top, far = self._nearest(x, y, self.tx, self.ty)
+        if len(self.tx) == len(self.x):
+            return top, far
+        cell = np.zeros(len(x), np.int64)
+        for t, own in self._runs(top):
+            low, high = self.start[t], self.start[t + 1]
+            cell[own], far[own] = self._nearest(x[own], y[own], self.x[low:high], self.y[low:high])
+            cell[own] += low
+        return cell, far
+
+    def copies(self, x: np.ndarray, y: np.ndarray, radius: float, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell) of all cells that may hold a partner; ``reach`` is the distance of each cell's farthest location."""
+        rows, cells, far = self._reached(x, y, self.tx, self.ty, radius)
+        if len(self.tx) < len(self.x):
+            parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            for t, own in self._runs(cells):
+                low, high = self.start[t], self.start[t + 1]
+                if low == high:  # a top on the place of another has no group
+                    continue
+                i, j, d = self._reached(x[rows[own]], y[rows[own]], self.x[low:high], self.y[low:high], radius)
+                parts.append((rows[own][i], j + low, d))
+            rows, cells, far = (np.concatenate(p) for p in zip(*parts))
+        keep = far <= reach[cells] + radius + 1e-6
+        return rows[keep], cells[keep]
+
+
+def near_locations(left: DataFrame, right: DataFrame, radius: float, metric: str = "plane", pivots: int = 262_144, part: int = 20_000, cell: int = 500) -> DataFrame:
     """Pairs (ax, ay, bx, by) of distinct locations of two frames with columns x, y.
 
-    ``pivots`` bounds the sample that the cells are made of (fitted once, sent to all
-    executors), ``cell`` is the number of locations a cell should have until that bound is
-    reached, and ``part`` the number from which a cell is divided.  None drops anything.
-    Empty sides give no pair.
+    ``cell`` is the number of locations a cell should have, ``pivots`` bounds the sample that
+    the cells are made of (fitted once, sent to all executors with two numbers for each), and
+    ``part`` is the number of locations or queries from which a cell is divided.  None drops
+    anything.  Empty sides give no pair.
     """
     spark = left.sparkSession
-    # a fixed number of partitions: coordinates are few bytes, but the work on them isn't little
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    a, b = (side.select("x", "y").repartition(tasks, "x", "y").distinct() for side in (left, right))
-    order = F.xxhash64("x", "y")
-    wanted = min(pivots, -(-a.count() // cell))
-    sample = a.select("x", "y", order.alias("h")).orderBy("h", "x", "y").limit(wanted).collect() if wanted else []
+    sides = left.select("x", "y", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(right.select("x", "y", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    places = stable(sides.groupBy("x", "y").agg(F.max("a").alias("a"), F.max("b").alias("b")))
+    n = places.count()
+    share = min(pivots, -(-n // cell)) / max(n, 1)
+    sample = bounded_rows(places.where(F.pmod(F.xxhash64("x", "y"), F.lit(1 << 40)) < int(share * (1 << 40))).select("x", "y"), 2 * pivots + 1000, "the sample of pivots")
+    sample = sample or places.select("x", "y").limit(1).collect()
     if not sample:
         return spark.createDataFrame([], "ax double, ay double, bx double, by double")
-    px, py = np.array([r.x for r in sample]), np.array([r.y for r in sample])
-
-    def assign(reach: float | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                x, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                rows, cells = cells_of(x, y, px, py, metric, reach)
-                yield pa.RecordBatch.from_arrays([pa.array(x[rows]), pa.array(y[rows]), pa.array(cells, pa.int32())], names=["x", "y", "cell"])
-
-        return run
-
-    kind = "x double, y double, cell int"
-    homes = a.mapInArrow(assign(None), kind)
-    sizes = {r.cell: r["n"] for r in homes.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > part).collect()}
-    copies = b.mapInArrow(assign(radius), kind)
-    if sizes:  # at most as many entries as pivots
-        parts = F.create_map(*[F.lit(v) for c, n in sizes.items() for v in (int(c), int(-(-n // part)))])
-        k = F.coalesce(F.element_at(parts, F.col("cell")), F.lit(1))
-        homes = homes.withColumn("part", F.pmod(F.xxhash64("x", "y", F.lit(7)), k).cast("int"))
-        copies = copies.withColumn("part", F.explode(F.sequence(F.lit(0), k - 1)))
-    else:
-        homes, copies = homes.withColumn("part", F.lit(0)), copies.withColumn("part", F.lit(0))
+    net = Pivots(np.array([r.x for r in sample]), np.array([r.y for r in sample]), metric, 2 * radius)
+
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, far = net.homes(batch.column(0).to_numpy(), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.int32()), pa.array(far)], names=[*batch.schema.names, "cell", "far"])
+
+    at_home = places.mapInArrow(home, "x double, y double, a int, b int, cell int, far double")
+    # one row for each cell, so at most as many as pivots
+    sizes = at_home.groupBy("cell").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.max(F.when(F.col("a") == 1, F.col("far"))).alias("reach")).toPandas()
+    reach = np.full(len(net.x), -np.inf)
+    reach[sizes.cell] = np.where(sizes.a > 0, sizes.reach.astype(float), -np.inf)
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            rows, cells = net.copies(x, y, radius, reach)
+            yield pa.RecordBatch.from_arrays([pa.array(x[rows]), pa.array(y[rows]), pa.array(cells, pa.int32())], names=["x", "y", "cell"])
+
+    homes = at_home.where("a = 1").select("x", "y", "cell")
+    copies = places.where("b = 1").select("x", "y").mapInArrow(copy, "x double, y double, cell int")
+    large = sizes[(sizes.a > part) | (sizes.b > part)]
+    parts, slices = (_divisions(large, c, part) for c in ("a", "b"))
+    h = F.xxhash64("x", "y", F.lit(7))
+    homes = homes.withColumns({"part": F.pmod(h, parts).cast("int"), "slice": F.explode(F.sequence(F.lit(0), slices - 1))})
+    copies = copies.withColumns({"slice": F.pmod(h, slices).cast("int"), "part": F.explode(F.sequence(F.lit(0), parts - 1))})
 
     def join(own: pa.Table, asked: pa.Table) -> pa.Table:
         x, y, qx, qy = (t.column(c).to_numpy() for t in (own, asked) for c in ("x", "y"))
         q, p = VantageTree(x, y, metric).within(qx, qy, radius)
         return pa.table({"ax": x[p], "ay": y[p], "bx": qx[q], "by": qy[q]})
 
-    sides = (side.repartition(tasks, "cell", "part").groupBy("cell", "part") for side in (homes, copies))
-    return next(sides).cogroup(next(sides)).applyInArrow(join, "ax double, ay double, bx double, by double")
+    # coordinates are few bytes but the work on them isn't little, so tasks follow the places and not the bytes
+    tasks = max(1, min(-(-n // 2_000), max(spark.sparkContext.defaultParallelism, -(-n // 50_000))))
+    keys = ("cell", "part", "slice")
+    grouped = (side.repartition(tasks, *keys).groupBy(*keys) for side in (homes, copies))
+    return next(grouped).cogroup(next(grouped)).applyInArrow(join, "ax double, ay double, bx double, by double")
+
+
+def _divisions(large, column: str, part: int):
+    """Into how many parts each cell is divided, as a column of its number; only divided cells are listed."""
+    listed = [F.lit(int(v)) for c, n in zip(large.cell, large[column]) if n > part for v in (c, -(-n // part))]
+    return F.coalesce(F.element_at(F.create_map(*listed), F.col("cell")), F.lit(1)) if listed else F.lit(1)
 
 
 def located(df: DataFrame, key: str, geometry: str, side: str) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from boskage.functions.wkt import from_lambert93, location, locations, to_lambert93
-from boskage.operators.proximity import VantageTree, cells_of, distance, located, near_rows
+from boskage.operators.proximity import Pivots, VantageTree, distance, located, near_locations, near_rows
 
 
 def test_projection_round_trip_and_known_points():
@@ -51,13 +51,30 @@ def test_tree_and_cells_are_complete(metric):
     want = distance(metric, x[:, None], y[:, None], x, y) <= r
     q, p = VantageTree(x, y, metric).within(x, y, r)
     assert len(q) == want.sum() and want[q, p].all()
-    px, py = x[::90], y[::90]
-    _, home = cells_of(x, y, px, py, metric, None)
-    rows, cells = cells_of(x, y, px, py, metric, r)
-    sent = np.zeros((len(x), len(px)), bool)
-    sent[rows, cells] = True
-    for a, b in zip(*np.nonzero(want)):
-        assert sent[a, home[b]]
+    for step, apart in ((90, 0.0), (3, 0.0), (3, 2 * r)):
+        net = Pivots(x[::step], y[::step], metric, apart)
+        home, far = net.homes(x, y)
+        assert np.allclose(far, distance(metric, x, y, net.x[home], net.y[home]))
+        reach = np.full(len(net.x), -np.inf)
+        np.maximum.at(reach, home, far)
+        rows, cells = net.copies(x, y, r, reach)
+        sent = np.zeros((len(x), len(net.x)), bool)
+        sent[rows, cells] = True
+        for a, b in zip(*np.nonzero(want)):
+            assert sent[a, home[b]]
+
+
+def test_copies_of_a_query_stay_constant_as_places_grow():
+    rng = np.random.default_rng(8)
+    share = []
+    for n in (2_000, 20_000, 200_000):
+        x, y = rng.uniform(0, 1e5, n), rng.uniform(0, 1e5, n)
+        net = Pivots(x[: n // 500], y[: n // 500], "plane", 500.0)
+        home, far = net.homes(x, y)
+        reach = np.full(len(net.x), -np.inf)
+        np.maximum.at(reach, home, far)
+        share.append(len(net.copies(x, y, 250.0, reach)[0]) / n)
+    assert max(share) < 3
 
 
 def test_rows(spark):
@@ -69,8 +86,19 @@ def test_rows(spark):
     h, n = places.where("side = 'hm'"), places.where("side = 'nfi'")
     H, N = h.toPandas(), n.toPandas()
     want = {(a, b) for a, ax, ay in zip(H.row, H.x, H.y) for b in N.row[np.hypot(N.x - ax, N.y - ay) <= 250]}
-    for how in ({}, {"pivots": 5, "part": 40}):
+    for how in ({}, {"pivots": 5, "part": 40}, {"cell": 2, "part": 1}):
         got = near_rows(h, n, 250.0, **how).collect()
         assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert near_rows(h, n.limit(0), 250.0).count() == 0
     assert near_rows(h.limit(0), n, 250.0).count() == 0
+
+
+def test_great_circle_rows(spark):
+    rng = np.random.default_rng(6)
+    lon, lat = rng.uniform(179.9, 180.1, 400), rng.uniform(60, 60.1, 400)
+    lon = np.where(lon > 180, lon - 360, lon)
+    df = spark.createDataFrame([(int(i), float(a), float(b)) for i, (a, b) in enumerate(zip(lon, lat))], "row long, x double, y double")
+    got = {tuple(r) for r in near_rows(df.where("row % 2 = 0"), df.where("row % 2 = 1"), 900.0, "great_circle", cell=20).collect()}
+    d = distance("great_circle", lon[:, None], lat[:, None], lon, lat)
+    assert got == {(i, j) for i, j in zip(*np.nonzero(d <= 900)) if i % 2 == 0 and j % 2 == 1}
+    assert near_locations(df, df, 1e9, "great_circle").count() == 160_000
