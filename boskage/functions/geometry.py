@@ -195,16 +195,30 @@ def _segments_cross(a: np.ndarray, b: np.ndarray) -> bool:
     return bool(((a1 * a2 <= 0) & (b1 * b2 <= 0) & ~((a1 == 0) & (a2 == 0))).any())
 
 
+#: Pairs of edges that a kernel looks at at once.
+BLOCK = 1_000_000
+
+
+def _blocks(n: int, m: int):
+    step = max(1, BLOCK // max(1, m))
+    return (slice(a, a + step) for a in range(0, n, step))
+
+
+def points_to_segments(x: np.ndarray, y: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Distance of each point to the nearest of some segments."""
+    out = np.empty(len(x))
+    d = s[:, 2:] - s[:, :2]
+    size = (d * d).sum(1)
+    size = np.where(size > 0, size, 1)  # a segment without extent is its first point
+    for own in _blocks(len(x), len(s)):
+        rx, ry = x[own, None] - s[:, 0], y[own, None] - s[:, 1]
+        t = np.clip((rx * d[:, 0] + ry * d[:, 1]) / size, 0, 1)
+        out[own] = np.hypot(rx - t * d[:, 0], ry - t * d[:, 1]).min(1)
+    return out
+
+
 def segment_distance(a: np.ndarray, b: np.ndarray) -> float:
-    best = math.inf
-    for p, q in ((a, b), (b, a)):
-        d = q[:, 2:] - q[:, :2]
-        size = (d * d).sum(1)
-        for ends in (p[:, :2], p[:, 2:]):
-            rel = ends[:, None] - q[:, :2]
-            t = np.clip(np.where(size > 0, (rel * d).sum(2) / np.where(size > 0, size, 1), 0), 0, 1)
-            best = min(best, float(np.sqrt(((rel - t[..., None] * d) ** 2).sum(2)).min()))
-    return best
+    return float(min(points_to_segments(p[:, k], p[:, k + 1], q).min() for p, q in ((a, b), (b, a)) for k in (0, 2)))
 
 
 def distance(a: list, b: list) -> float:
@@ -212,11 +226,22 @@ def distance(a: list, b: list) -> float:
     if not a or not b:
         return math.nan
     sa, sb = _segments(a), _segments(b)
-    if _segments_cross(sa, sb) or contains_points(a, sb[:1, 0], sb[:1, 1])[0] or contains_points(b, sa[:1, 0], sa[:1, 1])[0]:
+    if any(_segments_cross(sa[own], sb) for own in _blocks(len(sa), len(sb))):
         return 0.0
+    # no edges meet, so a part lies in the other geometry wholly or not at all
+    for p, q in ((a, b), (b, a)):
+        first = np.array([part[0][0] for part in p])
+        if contains_points(q, *first.T).any():
+            return 0.0
     return segment_distance(sa, sb)
 
 
+def point_gaps(parts: list, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Distance of each point to a geometry, 0 inside."""
+    near = points_to_segments(x, y, _segments(parts))
+    return np.where(contains_points(parts, x, y), 0.0, near)
+
+
 def overlap_area(a: list, b: list) -> float:
     """Area of the intersection by vertical slabs: between neighbouring events no edges cross, so each slab is exact."""
     sa, sb = _segments(a), _segments(b)
@@ -330,6 +355,122 @@ def valid_clear_cut(parts: list, tolerance: float = 10.0, hole: float = 100.0, m
     return fractal_dimension(len(parts[0][0]), area(parts)) < most_fractal and right_angle_pairs(parts[0][0]) != 0
 
 
+#: Coordinates of overlays are rounded to this many decimals (of metres); edges nearer than that are one.
+DECIMALS = 6
+
+
+def _noded(s: np.ndarray) -> np.ndarray:
+    """Edges cut where they meet one another, without direction and each once."""
+    s = np.round(s, DECIMALS)
+    s = s[(s[:, :2] != s[:, 2:]).any(1)]
+    slack = 10.0**-DECIMALS
+    cuts: list[set] = [{(0.0, (x1, y1)), (1.0, (x2, y2))} for x1, y1, x2, y2 in s.tolist()]
+    d = s[:, 2:] - s[:, :2]
+    size = np.hypot(*d.T)
+    for own in _blocks(len(s), len(s)):
+        p, dp = s[own], d[own]
+        rel = s[None, :, :2] - p[:, None, :2]
+        den = dp[:, None, 0] * d[None, :, 1] - dp[:, None, 1] * d[None, :, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = (rel[..., 0] * d[None, :, 1] - rel[..., 1] * d[None, :, 0]) / den
+            u = (rel[..., 0] * dp[:, None, 1] - rel[..., 1] * dp[:, None, 0]) / den
+        e, f = slack / size[own][:, None], slack / size[None, :]
+        for i, j in zip(*np.nonzero((den != 0) & (t > -e) & (t < 1 + e) & (u > -f) & (u < 1 + f))):
+            k = own.start + int(i)
+            if k < j:  # one point for both edges, an end of theirs where it is one
+                x, y = s[k, :2] + t[i, j] * d[k]
+                ends = [(s[m, c], s[m, c + 1]) for m in (k, j) for c in (0, 2)]
+                off, at = min((math.hypot(x - q[0], y - q[1]), q) for q in ends)
+                at = at if off <= 2 * slack else (round(float(x), DECIMALS), round(float(y), DECIMALS))
+                at = (float(at[0]), float(at[1]))
+                cuts[k].add((float(t[i, j]), at))
+                cuts[j].add((float(u[i, j]), at))
+        # ends of other edges on this one, for edges along each other
+        for ends in (s[:, :2], s[:, 2:]):
+            r = ends[None] - p[:, None, :2]
+            along = (r * dp[:, None]).sum(2) / size[own][:, None] ** 2
+            off = np.abs(r[..., 0] * dp[:, None, 1] - r[..., 1] * dp[:, None, 0]) / size[own][:, None]
+            for i, j in zip(*np.nonzero((off < slack) & (along > 0) & (along < 1))):
+                cuts[own.start + int(i)].add((float(along[i, j]), (float(ends[j, 0]), float(ends[j, 1]))))
+    out = set()
+    for own in cuts:
+        at = [q for _, q in sorted(own)]
+        out.update((min(p, q), max(p, q)) for p, q in zip(at, at[1:]) if p != q)
+    return np.array([(*p, *q) for p, q in sorted(out)]).reshape(-1, 4)
+
+
+def _rings(edges: np.ndarray) -> list:
+    """Polygons of directed edges that have the inside on their left."""
+    leaving: dict[tuple, list] = {}
+    for x1, y1, x2, y2 in edges.tolist():
+        leaving.setdefault((x1, y1), []).append((x2, y2))
+    outer, holes = [], []
+    for start in list(leaving):
+        while leaving.get(start):
+            ring, here = [start], leaving[start].pop()
+            before = start
+            while here != start:
+                ring.append(here)
+                ways = leaving.get(here)
+                if not ways:
+                    break
+                if len(ways) > 1:  # the sharpest turn to the left parts shapes that touch in a point
+                    back = math.atan2(before[1] - here[1], before[0] - here[0])
+                    ways.sort(key=lambda q: (back - math.atan2(q[1] - here[1], q[0] - here[0])) % (2 * math.pi), reverse=True)
+                before, here = here, ways.pop()
+            if here == start and len(ring) >= 3:
+                xy = np.array(ring)
+                (outer if signed_area(xy) > 0 else holes).append(xy)
+    parts = [[r] for r in sorted(outer, key=lambda r: abs(signed_area(r)))]
+    for h in holes:
+        mid = (h[0] + h[1]) / 2
+        for p in parts:  # the smallest that holds it
+            if contains_points([[p[0]]], mid[:1], mid[1:])[0]:
+                p.append(h)
+                break
+    return parts
+
+
+def overlay(sets: list[list], keep) -> list:
+    """The polygons where ``keep`` holds: a function of an array (sets, points) that tells in which of the geometries a point lies."""
+    rows = [_segments(g) for g in sets if g]
+    if not rows:
+        return []
+    edges = _noded(np.vstack(rows))
+    if not len(edges):
+        return []
+    d = edges[:, 2:] - edges[:, :2]
+    size = np.hypot(*d.T)
+    mid = (edges[:, :2] + edges[:, 2:]) / 2
+    off = np.column_stack([-d[:, 1], d[:, 0]]) / size[:, None] * np.minimum(10 ** (1.0 - DECIMALS), size / 4)[:, None]
+    sides = []
+    for at in (mid + off, mid - off):
+        inside = np.zeros((len(sets), len(at)), bool)
+        for k, g in enumerate(sets):
+            if g:
+                x1, y1, x2, y2 = bounds(g)
+                near = (at[:, 0] >= x1) & (at[:, 0] <= x2) & (at[:, 1] >= y1) & (at[:, 1] <= y2)
+                for own in _blocks(int(near.sum()), sum(len(r) for p in g for r in p)):
+                    rows_ = np.flatnonzero(near)[own]
+                    inside[k, rows_] = contains_points(g, *at[rows_].T)
+        sides.append(keep(inside))
+    left, right = sides
+    ahead, back = edges[left & ~right], edges[right & ~left][:, [2, 3, 0, 1]]
+    return _rings(np.vstack([ahead, back]))
+
+
+def union(sets: list[list]) -> list:
+    return overlay(sets, lambda inside: inside.any(0))
+
+
+def intersection(a: list, b: list) -> list:
+    return overlay([a, b], lambda inside: inside[0] & inside[1])
+
+
+def difference(a: list, b: list) -> list:
+    return overlay([a, b], lambda inside: inside[0] & ~inside[1])
+
+
 MEASURES = T.StructType(
     [T.StructField(c, T.IntegerType()) for c in ("kind", "parts", "segments", "holes")]
     + [T.StructField(c, T.DoubleType()) for c in ("area", "cx", "cy", "minx", "miny", "maxx", "maxy", "max_hole")]
@@ -358,6 +499,13 @@ def measure(wkb: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "parts", "segments", "holes", "area", "cx", "cy", "minx", "miny", "maxx", "maxy", "max_hole", "simple", "angles", "hull_area"])
 
 
+@F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in ("minx", "miny", "maxx", "maxy")]))
+def boxed(wkb: pd.Series) -> pd.DataFrame:
+    """Bounds of a WKB geometry; nulls for empty ones."""
+    rows = [bounds(parts) if (parts := read_wkb(w)[1]) else (None,) * 4 for w in wkb]
+    return pd.DataFrame(rows, columns=["minx", "miny", "maxx", "maxy"], dtype=float)
+
+
 def transform_udf(function):
     """A WKB to WKB function of parts as a pandas UDF; empty results are null."""
 
@@ -395,6 +543,54 @@ def relate(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["distance", "overlap"])
 
 
+_PARSED: dict[bytes, list] = {}
+
+
+def _parsed(data: bytes) -> list:
+    """Parts of a geometry; the geometries of the last batches are kept."""
+    data = bytes(data)
+    if (parts := _PARSED.get(data)) is None:
+        if len(_PARSED) >= 4096:
+            _PARSED.clear()
+        parts = _PARSED[data] = read_wkb(data)[1]
+    return parts
+
+
+@F.pandas_udf(T.DoubleType())
+def gap(a: pd.Series, ax: pd.Series, ay: pd.Series, b: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+    """Distance of two geometries in WKB, 0 where they meet; a null geometry is the point beside it."""
+    ax, ay, bx, by = (v.to_numpy(float) for v in (ax, ay, bx, by))
+    out = np.hypot(ax - bx, ay - by)
+    one: dict[bytes, tuple[list, list, list]] = {}
+    for i, (p, q) in enumerate(zip(a, b)):
+        if p is not None and q is not None:
+            out[i] = distance(_parsed(p), _parsed(q))
+        elif p is not None or q is not None:
+            own = one.setdefault(bytes(p if p is not None else q), ([], [], []))
+            for k, v in enumerate((i, bx[i], by[i]) if p is not None else (i, ax[i], ay[i])):
+                own[k].append(v)
+    for data, (at, x, y) in one.items():
+        parts = _parsed(data)
+        out[at] = point_gaps(parts, np.array(x), np.array(y)) if parts else np.nan
+    return pd.Series(out)
+
+
+def _pairwise(function):
+    @F.pandas_udf(T.BinaryType())
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(a, b):
+            made = function(_parsed(p) if p is not None else [], _parsed(q) if q is not None else [])
+            out.append(write_wkb(made, POLYGON if len(made) == 1 else MULTIPOLYGON) if made else None)
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
+cut_to = _pairwise(intersection)
+cut_away = _pairwise(difference)
+
+
 @F.pandas_udf(T.BooleanType())
 def clear_cut_ok(wkb: pd.Series) -> pd.Series:
     return pd.Series([valid_clear_cut(read_wkb(w)[1]) if read_wkb(w)[1] else False for w in wkb])

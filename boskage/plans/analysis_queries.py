@@ -9,7 +9,7 @@ from boskage.config import SIMILARITY_WEIGHTS
 from boskage.functions import fuzzy, geometry, planar, profiles
 from boskage.operators import cluster, extent, graph, metrics, raster, sampling, spatial_join, votes
 from boskage.plans import attribution
-from boskage.plans.carriers import EVENTS_SQL, PIXELS_SQL, X_SQL, Y_SQL, events, pixels
+from boskage.plans.carriers import EVENTS_SQL, PIXELS_SQL, X_SQL, Y_SQL, events, gaps_sql, pixels
 from boskage.plans.registry import Registry
 from boskage.session import table
 
@@ -18,6 +18,7 @@ GAP = "greatest(0, a.minx - b.maxx, b.minx - a.maxx)", "greatest(0, a.miny - b.m
 DIST = f"sqrt(({GAP[0]})*({GAP[0]}) + ({GAP[1]})*({GAP[1]}))"
 MEET = "a.minx <= b.maxx and b.minx <= a.maxx and a.miny <= b.maxy and b.miny <= a.maxy"
 BOX = spatial_join.BOX
+SHAPE = (*BOX, "geometry")
 
 
 def _kinds(s, d):
@@ -25,22 +26,35 @@ def _kinds(s, d):
     return e.where("dataset = 'hm'"), e.where("dataset = 'senfseidl'")
 
 
-@R.query("spatial_intersects_j5", f"with {EVENTS_SQL}, h as (select uid, minx - 5000 minx, miny - 5000 miny, maxx + 5000 maxx, maxy + 5000 maxy from ev where dataset = 'hm') select a.uid a, b.uid b from h a join ev b on b.dataset = 'senfseidl' and {MEET}")
+def _near_sql(name: str, radius: float) -> str:
+    """(src, dst, gap) of reports and reference polygons at most that far apart."""
+    boxes = f"{name}_boxes as (select a.uid src, b.uid dst from ev a join ev b on a.dataset = 'hm' and b.dataset = 'senfseidl' and {DIST} <= {radius})"
+    return f"{boxes},{gaps_sql(f'{name}_boxes', f'{name}_gaps')}, {name} as (select * from {name}_gaps where gap <= {radius})"
+
+
+@R.query("spatial_intersects_j5", f"with {EVENTS_SQL}, {_near_sql('p', 0.0)} select src a, dst b from p")
+def _(s, d):
+    h, r = _kinds(s, d)
+    pairs = spatial_join.within_distance(h.select("uid", *SHAPE), r.select("uid", *SHAPE), 0.0)
+    return pairs.select(F.col("l_uid").alias("a"), F.col("r_uid").alias("b"))
+
+
+@R.query("buffer_intersects_j5", f"with {EVENTS_SQL}, {_near_sql('p', 5000.0)} select src a, dst b from p")
 def _(s, d):
     h, r = _kinds(s, d)
-    pairs = spatial_join.meeting(spatial_join.grow(h.select("uid", *BOX), 5000.0), r.select("uid", *BOX), 10_000.0)
+    pairs = spatial_join.within_distance(h.select("uid", *SHAPE), r.select("uid", *SHAPE), 5000.0)
     return pairs.select(F.col("l_uid").alias("a"), F.col("r_uid").alias("b"))
 
 
-@R.query("nearest_j6", f"with {EVENTS_SQL}, p as (select a.uid a, b.uid b, {DIST} sd from ev a join ev b on a.dataset = 'hm' and b.dataset = 'senfseidl' and {DIST} <= 7000), t as (select *, min(sd) over (partition by a) m from p) select a, b, round(sd, 6) sd from t where sd = m")
+@R.query("nearest_j6", f"with {EVENTS_SQL}, {_near_sql('p', 7000.0)}, t as (select *, min(gap) over (partition by src) m from p) select src a, dst b, round(gap, 6) sd from t where gap = m")
 def _(s, d):
     h, r = _kinds(s, d)
-    found = spatial_join.nearest(h.select("uid", *BOX), r.select("uid", *BOX), "uid", 7000.0)
+    found = spatial_join.nearest(h.select("uid", *SHAPE), r.select("uid", *SHAPE), "uid", 7000.0)
     return found.select(F.col("l_uid").alias("a"), F.col("r_uid").alias("b"), F.round("sd", 6).alias("sd"))
 
 
-_PAIRS = f"p as (select a.uid src, b.uid dst, a.r ra, b.r rb, a.dataset da, b.dataset db, {DIST} ds, abs(floor((a.mid_us - b.mid_us)/86400000000.0)) dt from ev a join ev b on a.uid < b.uid and b.minx <= a.cx + 6000 and b.maxx >= a.cx - 6000 and b.miny <= a.cy + 6000 and b.maxy >= a.cy - 6000 where abs(floor((a.mid_us - b.mid_us)/86400000000.0)) <= 720)"
-_EDGES = f"{_PAIRS}, e as (select src, dst, exp(-ds/1000.0)*exp(-dt/180.0)*(ra + rb)/2*case when da = db then 0.5 else 1.0 end w from p where ds <= 6000)"
+_PAIRS = "p as (select a.uid src, b.uid dst, a.r ra, b.r rb, a.dataset da, b.dataset db, abs(floor((a.mid_us - b.mid_us)/86400000000.0)) dt from ev a join ev b on a.uid < b.uid and b.minx <= a.cx + 6000 and b.maxx >= a.cx - 6000 and b.miny <= a.cy + 6000 and b.maxy >= a.cy - 6000 where abs(floor((a.mid_us - b.mid_us)/86400000000.0)) <= 720)"
+_EDGES = f"{_PAIRS},{gaps_sql('p', 'pg')}, e as (select src, dst, exp(-gap/1000.0)*exp(-dt/180.0)*(ra + rb)/2*case when da = db then 0.5 else 1.0 end w from p join pg using (src, dst) where gap <= 6000)"
 
 
 @R.query("candidate_pairs_j9", f"with {EVENTS_SQL}, {_PAIRS} select src, dst, dt::bigint n_days from p")
@@ -54,6 +68,13 @@ def _(s, d):
     return attribution.weighted_edges(events(s, d)).select("src", "dst", F.round("weight", 6).alias("w"))
 
 
+@R.query("polygon_distance_g4", f"with {EVENTS_SQL}, q as (select a.uid src, b.uid dst from ev a join ev b on a.dataset = 'senfseidl' and b.dataset = 'senfseidl' and a.uid < b.uid and {DIST} <= 5000),{gaps_sql('q', 'g')} select src, dst, round(gap, 3) gap from g where gap <= 5000")
+def _(s, d):
+    r = _kinds(s, d)[1].select("uid", *SHAPE)
+    pairs = spatial_join.within_distance(r, r, 5000.0).where("l_uid < r_uid")
+    return pairs.select(F.col("l_uid").alias("src"), F.col("r_uid").alias("dst"), F.round("sd", 3).alias("gap"))
+
+
 def _strict(r: float, t: float) -> str:
     return f"a.uid < b.uid and a.minx - {r} <= b.maxx and b.minx <= a.maxx + {r} and a.miny - {r} <= b.maxy and b.miny <= a.maxy + {r} and abs(floor((a.mid_us - b.mid_us)/86400000000.0)) < {t}"
 
@@ -68,7 +89,8 @@ def _widened(k: int) -> str:
     return f"s{k} as (select src u from e{k - 1} union select dst from e{k - 1}), e{k} as (select src, dst from e{k - 1} union select a.uid, b.uid from ev a join ev b on {cond} where a.uid not in (select u from s{k}) or b.uid not in (select u from s{k}))"
 
 
-@R.query("adaptive_pairs_j11", f"with {EVENTS_SQL}, e0 as (select a.uid src, b.uid dst from ev a join ev b on {_strict(3000.0, 400)}), {_widened(1)}, {_widened(2)} select distinct src, dst from e2")
+# as many rounds as the radius needs to cover the country; further ones find nothing, since no event is alone by then
+@R.query("adaptive_pairs_j11", f"with {EVENTS_SQL}, e0 as (select a.uid src, b.uid dst from ev a join ev b on {_strict(3000.0, 400)}), {', '.join(map(_widened, range(1, 11)))} select distinct src, dst from e10")
 def _(s, d):
     return spatial_join.adaptive_pairs(events(s, d).select("uid", *BOX, "mid_us"), 3000.0, 400).select("src", "dst").distinct()
 
@@ -83,11 +105,11 @@ def _(s, d):
 
 @R.query(
     "enrich_species_j14",
-    f"with {EVENTS_SQL}, h as (select uid, minx - 8000 minx, miny - 8000 miny, maxx + 8000 maxx, maxy + 8000 maxy from ev where dataset = 'hm'), m as (select a.uid, b.tree_type, b.essence from h a join ev b on b.dataset = 'senfseidl' and {MEET}), g as (select uid, count(*) hits, count(distinct tree_type) + max(case when tree_type is null then 1 else 0 end) kinds, max(tree_type) one, coalesce(string_agg(distinct essence, ',' order by essence), '') essence from m group by 1) select h.uid, coalesce(hits, 0) hits, case when hits is null then null when kinds = 1 then one else 'Mixed' end tree_type, essence from h left join g using (uid)",
+    f"with {EVENTS_SQL}, {_near_sql('n', 8000.0)}, m as (select src uid, b.tree_type, b.essence from n join ev b on b.uid = n.dst), g as (select uid, count(*) hits, count(distinct tree_type) + max(case when tree_type is null then 1 else 0 end) kinds, max(tree_type) one, coalesce(string_agg(distinct essence, ',' order by essence), '') essence from m group by 1) select h.uid, coalesce(hits, 0) hits, case when hits is null then null when kinds = 1 then one else 'Mixed' end tree_type, g.essence from ev h left join g using (uid) where h.dataset = 'hm'",
 )
 def _(s, d):
     h, r = _kinds(s, d)
-    return spatial_join.enrich(spatial_join.grow(h.select("uid", *BOX), 8000.0), r, "uid", 16_000.0)
+    return spatial_join.enrich(h.select("uid", *SHAPE), r, "uid", 8000.0)
 
 
 _REF = "q as (select index_reference uid, round((minx + maxx)/2, 2) cx, round((miny + maxy)/2, 2) cy from reference_polygons), r as (select uid, cx - 5000 minx, cy - 5000 miny, cx + 5000 maxx, cy + 5000 maxy from q)"
@@ -213,7 +235,7 @@ def _(s, d):
     return on.select(F.col("l_uid").alias("i"), F.col("r_uid").alias("j"), w("x", "spatial"), w("gap", "temporal"))
 
 
-_CLS = " union all ".join(f"select '{a}' di, '{b}' ci, '{c}' dj, '{e}' cj, {v!r}::double v" for a, b, c, e, v in profiles.class_similarity_rows() if a in ("hm", "senfseidl") and c in ("hm", "senfseidl"))
+_CLS = " union all ".join(f"select '{a}' di, '{b}' ci, '{c}' dj, '{e}' cj, {v!r}::double v" for a, b, c, e, v in profiles.class_similarity_rows() if {a, c} <= {"hm", "senfseidl", "firepolygons"})
 
 
 @R.query("class_sim_k20", f"with {EVENTS_SQL}, {_PAIRS}, c as ({_CLS}) select p.src i, p.dst j, round(coalesce(v, 0), 6) sim from p join ev a on a.uid = p.src join ev b on b.uid = p.dst left join c on c.di = a.dataset and c.ci = a.class and c.dj = b.dataset and c.cj = b.class")
@@ -285,9 +307,10 @@ def _(s, d):
 
 
 def _tables(s, d):
-    h, r = _kinds(s, d)
-    cols = ["uid", "class", "year", "cx", "cy", *BOX]
-    return {"hm": h.select(*cols), "senfseidl": r.select(*cols)}
+    at = lambda c: F.expr(f"timestampadd(MICROSECOND, {c}_us, timestamp_ntz'1970-01-01')").alias(f"{c}_date")
+    cols = ["uid", "class", "cx", "cy", *SHAPE, at("start"), at("end")]
+    e = events(s, d)
+    return {name: e.where(F.col("dataset") == name).select(*cols) for name in ("hm", "senfseidl", "firepolygons")}
 
 
 @R.query("hdbscan_c4")

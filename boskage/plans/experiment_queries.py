@@ -95,7 +95,7 @@ def _(s, d):
     return preprocess.classify_inventory(p).select("k", "class", F.round("probability", 6).alias("probability"))
 
 
-def profile_sql(x: str, dataset: str, cls: str, kind: str, datasets: tuple[str, ...] = ("hm", "senfseidl")) -> str:
+def profile_sql(x: str, dataset: str, cls: str, kind: str, datasets: tuple[str, ...] = ("hm", "senfseidl", "firepolygons")) -> str:
     """The profile a row's source and class select, as SQL."""
     spread = 0 if kind == "spatial" else 1
     forms = {

@@ -139,7 +139,7 @@ def process_bdiff(fires: DataFrame, forest: DataFrame, least_m2: float = 5000.0)
     own = fires.where(F.col("forest_area_m2") > least_m2)
     if "keep" in own.columns:
         own = first_per(own, ["uuid"], [F.desc("keep"), "year"])
-    found = enrich(own, forest, "uuid", 1000.0, drop=("nr", "none"))
+    found = enrich(own, forest, "uuid", 0.0, drop=("nr", "none"))
     return own.drop("essence", "tree_type").join(found.drop("hits"), "uuid").withColumns({"class": F.lit("Fire"), "dataset": F.lit("bdiff")})
 
 

@@ -187,7 +187,7 @@ def test_reference_join(spark, tables):
         attribution.validate(tables["hm"].drop("class"), "hm")
     with pytest.raises(ValueError):
         attribution.validate(tables["hm"].drop("minx"), "hm")
-    assert attribution.is_entity(events(spark, SF)).count() == 2
+    assert attribution.is_entity(events(spark, SF)).count() == 3
 
 
 def test_stream(spark, tmp_path):
