@@ -70,23 +70,48 @@ def stratified(clusters: DataFrame, seed: int = 42, per_region: int = 10, second
 def place_boxes(samples: DataFrame, half: float = 5000.0, most: int = 20_000) -> DataFrame:
     """Labelling boxes for a bounded list of samples (uid, class, cx, cy), rarest class first.
 
-    A sample is skipped when its centre lies in a box that was placed before.  The placement
-    is sequential by nature; its input is a sample whose size is checked.
+    Samples may have their own box (minx, miny, maxx, maxy) and the centre and box of their
+    community (kx, ky, kminx, kminy, kmaxx, kmaxy); without them they are points.  A sample is
+    consumed, so skipped, when its box meets a box that was placed before.  The box is the
+    square around the sample's centre, or around that of its community where the square of
+    either is exactly its box (an intersection over union of 1).  Null boxes are those of
+    points.  The placement is sequential by nature; its input is a sample whose size is checked.
     """
     from boskage.session import bounded_rows
 
-    rows = bounded_rows(samples.select("uid", "class", "cx", "cy"), most, "the sample")
+    box, community = ("minx", "miny", "maxx", "maxy"), ("kx", "ky", "kminx", "kminy", "kmaxx", "kmaxy")
+    rows = bounded_rows(samples.select("uid", "class", "cx", "cy", *(c for c in (*box, *community) if c in samples.columns)), most, "the sample")
     frequency: dict = {}
     for r in rows:
         frequency[r["class"]] = frequency.get(r["class"], 0) + 1
-    cells: dict[tuple[int, int], list[tuple[float, float]]] = {}
+    width = 2 * half
+    cells: dict[tuple[int, int], list[tuple[float, ...]]] = {}
     placed = []
-    for r in sorted(rows, key=lambda r: (frequency[r["class"]], str(r["class"]), r["uid"])):
-        cx, cy = int(r["cx"] // (2 * half)), int(r["cy"] // (2 * half))
-        near = (b for i in (-1, 0, 1) for j in (-1, 0, 1) for b in cells.get((cx + i, cy + j), ()))
-        if any(abs(b[0] - r["cx"]) <= half and abs(b[1] - r["cy"]) <= half for b in near):
+
+    def own(r: dict, names: tuple[str, ...], x: float, y: float) -> tuple[float, ...]:
+        found = tuple(r.get(n) for n in names)
+        return (x, y, x, y) if None in found else found
+
+    for r in sorted((r.asDict() for r in rows), key=lambda r: (frequency[r["class"]], str(r["class"]), r["uid"])):
+        x1, y1, x2, y2 = own(r, box, r["cx"], r["cy"])
+        covered = ((i, j) for i in range(int(x1 // width) - 1, int(x2 // width) + 2) for j in range(int(y1 // width) - 1, int(y2 // width) + 2))
+        if any(b[0] <= x2 and x1 <= b[2] and b[1] <= y2 and y1 <= b[3] for c in covered for b in cells.get(c, ())):
             continue
-        cells.setdefault((cx, cy), []).append((r["cx"], r["cy"]))
-        placed.append((r["uid"], r["class"], r["cx"] - half, r["cy"] - half, r["cx"] + half, r["cy"] + half))
+        x, y = r["cx"], r["cy"]
+        kx, ky = (r.get(n) if r.get(n) is not None else v for n, v in (("kx", x), ("ky", y)))
+        around = lambda x, y: (x - half, y - half, x + half, y + half)
+        if around(x, y) == (x1, y1, x2, y2) or around(kx, ky) == own(r, community[2:], kx, ky):
+            x, y = kx, ky
+        b = around(x, y)
+        cells.setdefault((int(b[0] // width), int(b[1] // width)), []).append(b)
+        placed.append((r["uid"], r["class"], *b))
     kind = samples.schema["uid"].dataType.simpleString()
     return samples.sparkSession.createDataFrame(placed, f"uid {kind}, class string, minx double, miny double, maxx double, maxy double")
+
+
+def consumed(clusters: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(uid, box): clusters (uid and their box) that meet placed boxes, each with the box that comes first."""
+    from boskage.operators.spatial_join import BOX, meeting
+
+    pairs = meeting(clusters.select("uid", *BOX), boxes.select(F.col("uid").alias("box"), *BOX), 10_000.0, 2)
+    return pairs.groupBy(F.col("l_uid").alias("uid")).agg(F.min("r_box").alias("box"))

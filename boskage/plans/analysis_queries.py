@@ -523,17 +523,43 @@ def _(s, d):
     return pixels(s, d).select("row", "col", x.alias("x"), y.alias("y"))
 
 
+def _sampled(s, d):
+    e = events(s, d).where("class != 'unknown'")
+    region = F.concat(F.lit("r"), F.floor(F.col("cy") / 250_000).cast("int"))
+    return e, e.select("uid", region.alias("region"), "class", (F.col("uid") % 500).alias("community"))
+
+
 @R.query("stratified_t7")
 def _(s, d):
-    e = events(s, d).where("class != 'unknown'")
-    return sampling.stratified(e.select("uid", F.concat(F.lit("r"), F.floor(F.col("cy") / 250_000).cast("int")).alias("region"), "class", (F.col("uid") % 500).alias("community")))
+    return sampling.stratified(_sampled(s, d)[1])
+
+
+@R.query("stratified_limits_t7", f"with {EVENTS_SQL}, c as (select 'r' || floor(cy / 250000)::int region, class, uid % 500 community from ev where class <> 'unknown'), n as (select region, class, count(distinct community) k from c group by 1, 2) select region, class, true held from n")
+def _(s, d):
+    _, c = _sampled(s, d)
+    drawn = sampling.stratified(c)
+    # no community twice in a round and region, at most ten and eight of a class
+    own = drawn.groupBy("region", "class", "round").agg(F.count("*").alias("n"), F.count_distinct("community").alias("k"))
+    good = own.groupBy("region", "class").agg(F.min((F.col("n") <= F.when(F.col("round") == 1, 10).otherwise(8)) & (F.col("n") == F.col("k"))).alias("held"))
+    return c.select("region", "class").distinct().join(good, ["region", "class"], "left").withColumn("held", F.coalesce("held", F.lit(True)))
+
+
+def _placed(s, d):
+    e, c = _sampled(s, d)
+    drawn = sampling.stratified(c).select("uid", "community")
+    groups = extent.cluster_boxes(e.withColumn("community", F.col("uid") % 500), "community").select("community", *(F.col(b).alias("k" + b) for b in BOX))
+    placed = drawn.join(e.select("uid", "class", "cx", "cy", *BOX), "uid").join(groups, "community")
+    return e, sampling.place_boxes(placed.withColumns({"kx": (F.col("kminx") + F.col("kmaxx")) / 2, "ky": (F.col("kminy") + F.col("kmaxy")) / 2}))
 
 
 @R.query("boxes_t8")
 def _(s, d):
-    e = events(s, d).where("class != 'unknown'")
-    drawn = sampling.stratified(e.select("uid", F.concat(F.lit("r"), F.floor(F.col("cy") / 250_000).cast("int")).alias("region"), "class", (F.col("uid") % 500).alias("community")))
-    return sampling.place_boxes(drawn.select("uid").join(e.select("uid", "class", "cx", "cy"), "uid"))
+    return _placed(s, d)[1]
+
+
+@R.query("consumed_t8")
+def _(s, d):
+    return sampling.consumed(*_placed(s, d))
 
 
 @R.query("area_by_species_v1", "with t as (select essence from reference_polygons where essence is not null group by 1 order by count(*) desc, essence limit 5) select class, essence, round(sum(area), 2) area from reference_polygons where essence in (select essence from t) group by 1, 2")

@@ -111,7 +111,7 @@ def test_spatial_edges(spark):
     assert meeting(nulls, df, 7.0).count() == 0
     day = 86_400_000_000
     ev = with_box(spark.createDataFrame([(1, 0.0, 0.0, 0), (2, 5.0, 0.0, 0), (3, 30.0, 0.0, 0), (4, 500.0, 0.0, 0)], "uid long, x double, y double, mid_us long"))
-    assert {(r.src, r.dst) for r in adaptive_pairs(ev, 8.0, 10).collect()} == {(1, 2), (2, 3), (1, 3)}
+    assert {(r.src, r.dst) for r in adaptive_pairs(ev, 8.0, 10).collect()} == {(1, 2), (2, 3), (1, 3), (1, 4), (2, 4), (3, 4)}  # 4 looks on until it finds others
     assert day
 
 
@@ -152,6 +152,12 @@ def test_numbering_and_samples(spark):
         assert len(first) == len(set(first))
     boxes = sampling.place_boxes(spark.createDataFrame([(1, "a", 0.0, 0.0), (2, "a", 100.0, 0.0), (3, "b", 9000.0, 0.0)], "uid long, class string, cx double, cy double")).collect()
     assert [b.uid for b in boxes] == [3, 1]
+    own = "uid long, class string, cx double, cy double, minx double, miny double, maxx double, maxy double, kx double, ky double, kminx double, kminy double, kmaxx double, kmaxy double"
+    wide = (7000.0, 0.0, -5000.0, -5000.0, 19000.0, 5000.0)  # a community of more than the square
+    rows = [(1, "a", 0.0, 0.0, -5000.0, -5000.0, 5000.0, 5000.0, *wide), (2, "b", 16000.0, 0.0, 11000.0, 0.0, 16100.0, 1.0, *wide), (3, "b", 30000.0, 0.0, 29000.0, 0.0, 31000.0, 1.0, *wide)]
+    got = [(b.uid, b.minx) for b in sampling.place_boxes(spark.createDataFrame(rows, own)).collect()]
+    # the box of 1 is its square, so the square lies around its community; 2 meets it, 3 doesn't
+    assert got == [(1, 2000.0), (3, 25000.0)]
 
 
 @pytest.fixture(scope="module")
