@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,17 +33,69 @@ def weight_of(mode: str) -> Column:
     return total / float(sum(weights))
 
 
-def components(edges: DataFrame, vertices: DataFrame | None = None, most_rounds: int = 60) -> DataFrame:
+def smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vertices of some edges, ascending, and the smallest vertex each is connected to: hooking and pointer jumping."""
+    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, parent = flat[: len(a)], flat[len(a) :], np.arange(len(ids))
+    while True:
+        x, y = parent[a], parent[b]
+        far = x != y
+        if not far.any():
+            return ids, ids[parent]
+        np.minimum.at(parent, np.maximum(x, y)[far], np.minimum(x, y)[far])
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+
+
+#: Edges that are gathered before a partition's are reduced, and up to which one task finishes a graph.
+FEW_EDGES = 1_000_000
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """(a, b), a > b: the edges of each partition, reduced to stars around its smallest vertices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((2, 0), np.int64)]
+
+        def reduce() -> None:
+            ids, low = smallest(*np.hstack(held))
+            own = ids != low
+            held[:] = [np.vstack([ids[own], low[own]])]
+
+        for batch in batches:
+            held.append(np.vstack([c.to_numpy() for c in batch.columns]))
+            if sum(h.shape[1] for h in held[1:]) >= FEW_EDGES:
+                reduce()
+        reduce()
+        (a, b), step = held[0], 100_000
+        for k in range(0, len(a), step):
+            yield pa.RecordBatch.from_arrays([pa.array(a[k : k + step]), pa.array(b[k : k + step])], names=["a", "b"])
+
+    return edges.mapInArrow(run, "a bigint, b bigint")
+
+
+def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """(uid, component): the smallest vertex each vertex is connected to.
 
-    Large-star and small-star steps in turn, which end after a logarithmic number of rounds
-    and never gather a neighbourhood in one row: minima are aggregated before the shuffle.
-    Each round is written to the checkpoint folder; the loop ends when no edge changes.
+    Every partition first reduces its edges to stars.  What is left is finished by one task
+    where it is small, else by large-star and small-star steps in turn, which end after a
+    logarithmic number of rounds and never gather a neighbourhood in one row: minima are
+    aggregated before the shuffle.  Each round is written to the checkpoint folder; the loop
+    ends when no edge changes.  Edges with a null end are left out.  Vertices of a type other
+    than bigint are reduced by the steps alone.
     """
-    e = stable(edges.where("src != dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    e = edges.where("src != dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
+    if all(f.dataType.simpleString() in ("bigint", "int") for f in e.schema):
+        e = stable(_stars(e.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))))
+        if e.count() <= FEW_EDGES:
+            return _labelled(stable(_stars(e.coalesce(1))), vertices)
+        e = e.distinct()
+    else:
+        e = stable(e.distinct())
     summary = lambda d: tuple(d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    state = summary(e)
-    for _ in range(most_rounds):
+    state, new = None, summary(e)
+    while new != state:
+        state = new
         # large star: every larger neighbour of u is tied to the smallest vertex around u
         both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -50,10 +105,11 @@ def components(edges: DataFrame, vertices: DataFrame | None = None, most_rounds:
         tied = large.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         e = stable(tied.unionByName(low2.select("a", F.col("m").alias("b"))).distinct())
         new = summary(e)
-        if new == state:
-            break
-        state = new
-    labels = e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "uid")
+    return _labelled(e, vertices)
+
+
+def _labelled(stars: DataFrame, vertices: DataFrame | None) -> DataFrame:
+    labels = stars.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "uid")
     roots = labels.select(F.col("component").alias("uid"), "component").distinct()
     labels = labels.unionByName(roots)
     if vertices is not None:
@@ -103,6 +159,8 @@ def louvain_kernel(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, reso
             return member
         names, own_ids = np.unique(own, return_inverse=True)
         member = own_ids[member]
+        if len(names) == n:  # nothing was merged, so another pass would weigh the same graph
+            return member
         inner = own_ids[src] == own_ids[dst]
         new_loops = np.zeros(len(names))
         np.add.at(new_loops, own_ids, loops)
@@ -111,38 +169,44 @@ def louvain_kernel(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, reso
         src, dst, w = own_ids[src[~inner]], own_ids[dst[~inner]], w[~inner]
 
 
-def parallel_moves(edges: DataFrame, total: float, resolution: float, rounds: int = 10) -> DataFrame:
+def parallel_moves(edges: DataFrame, total: float, resolution: float, least_gain: float = 1e-4) -> DataFrame:
     """(uid, community) after rounds in which all vertices weigh moving at once.
 
     In each round a vertex may move to the neighbouring community of greatest gain; which
     half of the vertices may move is drawn by a hash, so that neighbours don't swap for ever.
-    Links are aggregated per vertex and community before they are compared; no vertex's
-    neighbourhood and no community is gathered in one row.
+    The rounds go on until nothing moves in two of them, or four have raised the modularity by
+    less than ``least_gain``; the best state seen is given.  Links are aggregated per vertex
+    and community before they are compared; no vertex's neighbourhood and no community is
+    gathered in one row.
     """
     ends = edges.where("src != dst")
     both = stable(ends.select(F.col("src").alias("u"), F.col("dst").alias("v"), "weight").unionByName(ends.select(F.col("dst").alias("u"), F.col("src").alias("v"), "weight")))
     loops = edges.where("src = dst").select(F.col("src").alias("u"), (2 * F.col("weight")).alias("weight"))
     state = stable(both.select("u", "weight").unionByName(loops).groupBy("u").agg(F.sum("weight").alias("k")).select("u", F.col("u").alias("c"), "k"))
-    still = 0
-    for r in range(rounds):
+    kept, history, still, r = state, [], 0, 0
+    while True:
         volume = state.groupBy("c").agg(F.sum("k").alias("volume"))
         links = both.join(state.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("weight").alias("w"))
         own = state.select("u", F.col("c").alias("home"), "k")
         at_home = own.select("u", F.col("home").alias("c"), F.lit(0.0).alias("w"))
         options = links.unionByName(at_home).groupBy("u", "c").agg(F.sum("w").alias("w")).join(own, "u").join(volume, "c")
-        rest = F.col("volume") - F.when(F.col("c") == F.col("home"), F.col("k")).otherwise(0.0)
-        gain = F.col("w") - resolution * F.col("k") * rest / (2 * total)
+        here = F.col("c") == F.col("home")
+        gain = F.col("w") - resolution * F.col("k") * (F.col("volume") - F.when(here, F.col("k")).otherwise(0.0)) / (2 * total)
         best = options.withColumn("gain", gain).groupBy("u", "home", "k").agg(
-            F.max(F.struct("gain", (-F.col("c")).alias("c"))).alias("best"), F.max(F.when(F.col("c") == F.col("home"), F.col("gain"))).alias("stay")
-        )
+            F.max(F.struct("gain", (-F.col("c")).alias("c"))).alias("best"), F.max(F.when(here, F.col("gain"))).alias("stay"),
+            F.max(F.when(here, F.col("w"))).alias("inner"), F.max(F.when(here, F.col("volume"))).alias("volume"),
+        )
         go = (F.col("best.gain") > F.col("stay") + 1e-12) & (F.pmod(F.xxhash64("u", F.lit(r)), F.lit(2)) == 0)
-        state = stable(best.select("u", F.when(go, -F.col("best.c")).otherwise(F.col("home")).alias("c"), "k", go.alias("moved")))
-        moved = state.where("moved").count()
-        state = state.drop("moved")
-        still = still + 1 if moved == 0 else 0
-        if still == 2:
-            break
-    return state.select(F.col("u").alias("uid"), F.col("c").alias("community"))
+        new = stable(best.select("u", F.when(go, -F.col("best.c")).otherwise(F.col("home")).alias("c"), "k", go.alias("moved"), "inner", "volume"))
+        # the modularity before the moves, but for the loops, which no move changes
+        at = new.agg(F.sum(F.col("moved").cast("long")), F.sum("inner") / (2 * total) - resolution * F.sum(F.col("k") * F.col("volume")) / (4 * total * total)).first()
+        if not history or at[1] > max(history):
+            kept = state
+        history.append(at[1] or 0.0)
+        still = still + 1 if not at[0] else 0
+        if still == 2 or (len(history) > 4 and max(history) - max(history[:-4]) < least_gain):
+            return kept.select(F.col("u").alias("uid"), F.col("c").alias("community"))
+        state, r = new.select("u", "c", "k"), r + 1
 
 
 def contract(edges: DataFrame, membership: DataFrame) -> DataFrame:
@@ -153,12 +217,12 @@ def contract(edges: DataFrame, membership: DataFrame) -> DataFrame:
     return on.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight"))
 
 
-def louvain(edges: DataFrame, vertices: DataFrame | None = None, resolution: float = 1.0, most_edges: int = 200_000, levels: int = 12) -> DataFrame:
+def louvain(edges: DataFrame, vertices: DataFrame | None = None, resolution: float = 1.0, most_edges: int = 200_000) -> DataFrame:
     """(uid, community): the smallest member names the community; vertices without edges are their own.
 
     A component of up to ``most_edges`` edges is solved in one task.  Larger ones are first
-    worked on by ``parallel_moves`` and contracted, level by level, until they are that small
-    (or no level helps any more, and the communities found so far stand).
+    worked on by ``parallel_moves`` and contracted, level by level, each to its end, until they
+    are that small; where no level merges anything any more, the communities found stand.
     """
     e = stable(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
     total = e.agg(F.sum("weight")).first()[0] or 1.0
@@ -185,13 +249,13 @@ def louvain(edges: DataFrame, vertices: DataFrame | None = None, resolution: flo
         found = by_component(e.join(inside, e.src == inside.uid, "left_anti"), labels)
         graph = stable(e.join(inside, e.src == inside.uid, "left_semi"))
         place = inside.select("uid", F.col("uid").alias("community"))
-        size = graph.count()
-        for _ in range(levels):
+        size = graph.select(F.explode(F.array("src", "dst"))).distinct().count()
+        while True:
             moves = parallel_moves(graph, total, resolution)
             graph = stable(contract(graph, moves))
             place = stable(place.join(moves.select(F.col("uid").alias("community"), F.col("community").alias("next")), "community").select("uid", F.col("next").alias("community")))
-            new = graph.count()
-            if new <= most_edges or new > 0.95 * size:
+            new = graph.select(F.explode(F.array("src", "dst"))).distinct().count()
+            if graph.count() <= most_edges or new == size:
                 break
             size = new
         if graph.count() <= most_edges:

@@ -24,6 +24,10 @@ def build(master: str = "local[*]", app: str = "boskage", partitions: int = 8) -
     )
 
 
+#: The greatest size estimate that is kept (a petabyte).
+MOST_BYTES = 1 << 50
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
 
@@ -38,7 +42,13 @@ def stable(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="boskage-")
         sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    plan = done._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) > MOST_BYTES:
+        # a checkpoint keeps the size estimated for its plan; in loops with joins estimates multiply round by round until
+        # planning takes for ever, so the rows are taken up anew without one
+        return DataFrame(spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), done._jdf.schema(), False), spark)
+    return done
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
