@@ -169,7 +169,7 @@ def louvain_kernel(n: int, src: np.ndarray, dst: np.ndarray, w: np.ndarray, reso
         src, dst, w = own_ids[src[~inner]], own_ids[dst[~inner]], w[~inner]
 
 
-def parallel_moves(edges: DataFrame, total: float, resolution: float, least_gain: float = 1e-4) -> DataFrame:
+def parallel_moves(edges: DataFrame, resolution: float, least_gain: float = 1e-4) -> DataFrame:
     """(uid, community) after rounds in which all vertices weigh moving at once.
 
     In each round a vertex may move to the neighbouring community of greatest gain; which
@@ -177,36 +177,38 @@ def parallel_moves(edges: DataFrame, total: float, resolution: float, least_gain
     The rounds go on until nothing moves in two of them, or four have raised the modularity by
     less than ``least_gain``; the best state seen is given.  Links are aggregated per vertex
     and community before they are compared; no vertex's neighbourhood and no community is
-    gathered in one row.
+    gathered in one row.  ``total`` of an edge is the weight of the whole graph it belongs to.
     """
     ends = edges.where("src != dst")
-    both = stable(ends.select(F.col("src").alias("u"), F.col("dst").alias("v"), "weight").unionByName(ends.select(F.col("dst").alias("u"), F.col("src").alias("v"), "weight")))
-    loops = edges.where("src = dst").select(F.col("src").alias("u"), (2 * F.col("weight")).alias("weight"))
-    state = stable(both.select("u", "weight").unionByName(loops).groupBy("u").agg(F.sum("weight").alias("k")).select("u", F.col("u").alias("c"), "k"))
+    both = stable(ends.select(F.col("src").alias("u"), F.col("dst").alias("v"), "weight", "total").unionByName(ends.select(F.col("dst").alias("u"), F.col("src").alias("v"), "weight", "total")))
+    loops = edges.where("src = dst").select(F.col("src").alias("u"), (2 * F.col("weight")).alias("weight"), "total")
+    degrees = both.select("u", "weight", "total").unionByName(loops).groupBy("u").agg(F.sum("weight").alias("k"), F.max("total").alias("total"))
+    state = stable(degrees.select("u", F.col("u").alias("c"), "k", "total"))
+    both = both.drop("total")
     kept, history, still, r = state, [], 0, 0
     while True:
         volume = state.groupBy("c").agg(F.sum("k").alias("volume"))
         links = both.join(state.select(F.col("u").alias("v"), "c"), "v").groupBy("u", "c").agg(F.sum("weight").alias("w"))
-        own = state.select("u", F.col("c").alias("home"), "k")
+        own = state.select("u", F.col("c").alias("home"), "k", "total")
         at_home = own.select("u", F.col("home").alias("c"), F.lit(0.0).alias("w"))
         options = links.unionByName(at_home).groupBy("u", "c").agg(F.sum("w").alias("w")).join(own, "u").join(volume, "c")
         here = F.col("c") == F.col("home")
-        gain = F.col("w") - resolution * F.col("k") * (F.col("volume") - F.when(here, F.col("k")).otherwise(0.0)) / (2 * total)
-        best = options.withColumn("gain", gain).groupBy("u", "home", "k").agg(
+        gain = F.col("w") - resolution * F.col("k") * (F.col("volume") - F.when(here, F.col("k")).otherwise(0.0)) / (2 * F.col("total"))
+        best = options.withColumn("gain", gain).groupBy("u", "home", "k", "total").agg(
             F.max(F.struct("gain", (-F.col("c")).alias("c"))).alias("best"), F.max(F.when(here, F.col("gain"))).alias("stay"),
             F.max(F.when(here, F.col("w"))).alias("inner"), F.max(F.when(here, F.col("volume"))).alias("volume"),
         )
         go = (F.col("best.gain") > F.col("stay") + 1e-12) & (F.pmod(F.xxhash64("u", F.lit(r)), F.lit(2)) == 0)
-        new = stable(best.select("u", F.when(go, -F.col("best.c")).otherwise(F.col("home")).alias("c"), "k", go.alias("moved"), "inner", "volume"))
+        new = stable(best.select("u", F.when(go, -F.col("best.c")).otherwise(F.col("home")).alias("c"), "k", "total", go.alias("moved"), "inner", "volume"))
         # the modularity before the moves, but for the loops, which no move changes
-        at = new.agg(F.sum(F.col("moved").cast("long")), F.sum("inner") / (2 * total) - resolution * F.sum(F.col("k") * F.col("volume")) / (4 * total * total)).first()
+        at = new.agg(F.sum(F.col("moved").cast("long")), F.sum(F.col("inner") / (2 * F.col("total")) - resolution * F.col("k") * F.col("volume") / (4 * F.pow("total", F.lit(2))))).first()
         if not history or at[1] > max(history):
             kept = state
         history.append(at[1] or 0.0)
         still = still + 1 if not at[0] else 0
         if still == 2 or (len(history) > 4 and max(history) - max(history[:-4]) < least_gain):
             return kept.select(F.col("u").alias("uid"), F.col("c").alias("community"))
-        state, r = new.select("u", "c", "k"), r + 1
+        state, r = new.select("u", "c", "k", "total"), r + 1
 
 
 def contract(edges: DataFrame, membership: DataFrame) -> DataFrame:
@@ -214,7 +216,7 @@ def contract(edges: DataFrame, membership: DataFrame) -> DataFrame:
     a = membership.select(F.col("uid").alias("src"), F.col("community").alias("a"))
     b = membership.select(F.col("uid").alias("dst"), F.col("community").alias("b"))
     on = edges.join(a, "src").join(b, "dst")
-    return on.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight"))
+    return on.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.sum("weight").alias("weight"), F.max("total").alias("total"))
 
 
 def louvain(edges: DataFrame, vertices: DataFrame | None = None, resolution: float = 1.0, most_edges: int = 200_000) -> DataFrame:
@@ -223,20 +225,25 @@ def louvain(edges: DataFrame, vertices: DataFrame | None = None, resolution: flo
     A component of up to ``most_edges`` edges is solved in one task.  Larger ones are first
     worked on by ``parallel_moves`` and contracted, level by level, each to its end, until they
     are that small; where no level merges anything any more, the communities found stand.
+    Edges may have a column ``total``, the weight of the whole graph they belong to, where
+    several graphs without common vertices are solved together.
     """
-    e = stable(edges.select("src", "dst", F.col("weight").cast("double").alias("weight")))
-    total = e.agg(F.sum("weight")).first()[0] or 1.0
+    e = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"), *(c for c in ("total",) if c in edges.columns))
+    if "total" not in edges.columns:
+        e = stable(e)
+        e = e.withColumn("total", F.lit(float(e.agg(F.sum("weight")).first()[0] or 1.0)))
+    e = stable(e)
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         ids, flat = np.unique(np.concatenate([part.src, part.dst]), return_inverse=True)
         order = np.lexsort((part.dst, part.src))
         m = len(part)
-        found = louvain_kernel(len(ids), flat[:m][order], flat[m:][order], part.weight.to_numpy()[order], resolution, total)
+        found = louvain_kernel(len(ids), flat[:m][order], flat[m:][order], part.weight.to_numpy()[order], resolution, float(part.total.iloc[0]))
         low = pd.Series(ids).groupby(found).transform("min")
         return pd.DataFrame({"uid": ids, "community": low.to_numpy()})
 
     def by_component(graph: DataFrame, labels: DataFrame) -> DataFrame:
-        parts = graph.join(labels, graph.src == labels.uid).select("component", "src", "dst", "weight")
+        parts = graph.join(labels, graph.src == labels.uid).select("component", "src", "dst", "weight", "total")
         return parts.groupBy("component").applyInPandas(solve, "uid bigint, community bigint")
 
     labels = stable(components(e))
@@ -251,7 +258,7 @@ def louvain(edges: DataFrame, vertices: DataFrame | None = None, resolution: flo
         place = inside.select("uid", F.col("uid").alias("community"))
         size = graph.select(F.explode(F.array("src", "dst"))).distinct().count()
         while True:
-            moves = parallel_moves(graph, total, resolution)
+            moves = parallel_moves(graph, resolution)
             graph = stable(contract(graph, moves))
             place = stable(place.join(moves.select(F.col("uid").alias("community"), F.col("community").alias("next")), "community").select("uid", F.col("next").alias("community")))
             new = graph.select(F.explode(F.array("src", "dst"))).distinct().count()

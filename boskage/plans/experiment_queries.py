@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boskage.config import CLASS_SPREAD, COMPOSITION, SOURCE_PROFILES
@@ -10,7 +13,7 @@ from boskage.operators import cluster, experiments, extent, graph, spatial_join,
 from boskage.plans import attribution, preprocess
 from boskage.plans.carriers import EVENTS_SQL, events
 from boskage.plans.registry import Registry
-from boskage.session import table
+from boskage.session import stable, table
 
 R = Registry()
 _GROUPS = "g as (select distinct row_id u, index_reference c, feed_id from group_sample where index_reference is not null), e as (select g.c, src i, dst j, max(ws) s from edges join g on g.u = src group by 1, 2, 3)"
@@ -139,19 +142,43 @@ def _(s, d):
     return extent.footprint_cells(e, "g").select("g", F.round("threshold", 6).alias("threshold"))
 
 
-def _components(e):
-    return graph.components(attribution.weighted_edges(e), e.select("uid"))
+def _clusters(mode: str):
+    """A labelling of stacked events: communities by weights of place and time, and density clusters inside them."""
+
+    def run(e):
+        pairs = spatial_join.candidate_pairs(e, 6000.0, 720)
+        centres = F.sqrt(F.pow(F.col("l_cx") - F.col("r_cx"), 2) + F.pow(F.col("l_cy") - F.col("r_cy"), 2))
+        weight = lambda x, kind: profiles.pair_weight(x, F.col("l_dataset"), F.col("l_class"), F.col("r_dataset"), F.col("r_class"), kind)
+        nothing = F.lit(None).cast("double")
+        on = pairs.select(
+            F.col("l_uid").alias("src"), F.col("r_uid").alias("dst"), F.col("l_run").alias("run"),
+            weight(centres, "spatial").alias("ws"), weight(F.col("days").cast("double"), "temporal").alias("wt"), nothing.alias("we"), nothing.alias("wc"),
+        ).withColumn("weight", graph.weight_of(mode)).where("weight > 0")
+        on = stable(on)
+        totals = on.groupBy("run").agg(F.sum("weight").alias("total"))  # a row for each run
+        found = stable(graph.louvain(on.join(F.broadcast(totals), "run").select("src", "dst", "weight", "total"), e.select("uid")))
+        c = found.select(F.col("uid").alias("src"), "community")
+        inside = on.join(c, "src").join(found.select(F.col("uid").alias("dst"), F.col("community").alias("other")), "dst").where("community = other")
+        # of 2-D weights the mean is the similarity
+        near = inside.select("community", F.col("src").alias("i"), F.col("dst").alias("j"), ((F.col("ws") + F.col("wt")) / 2).alias("s"))
+        dense = cluster.dbscan_communities(near, found, 0.23)
+        name = F.when(F.col("label") < 0, "noise").otherwise(F.concat_ws("/", F.expr(f"community div {experiments.MOST_RUNS}"), "label"))
+        return dense.select("uid", "community", name.alias("label"))
+
+    return run
 
 
 @R.query("noise_sweep_m7")
 def _(s, d):
-    r = experiments.noise_sweep(events(s, d), _components, "component", [0.0, 600.0])
-    return r.select("sigma", F.round("ari", 6).alias("ari"), F.round("ami", 6).alias("ami"))
+    e = stable(events(s, d).drop("geometry"))
+    sigmas = [round(600 * k / 9, 1) for k in range(10)]
+    found = [experiments.noise_sweep(e, _clusters(mode), sigmas).withColumn("mode", F.lit(mode)) for mode in ("mean2", "pca", "eco")]
+    return reduce(DataFrame.unionByName, found).select("mode", "sigma", *(F.round(c, 6).alias(c) for c in ("ari", "ami", "davies_bouldin")))
 
 
 @R.query("stability_m8")
 def _(s, d):
-    r = experiments.stability(events(s, d), _components, "component", 200.0, runs=3)
+    r = experiments.stability(events(s, d).drop("geometry"), _clusters("mean2"), 200.0)
     return r.select("i", "j", F.round("ari", 6).alias("ari"), F.round("ami", 6).alias("ami"))
 
 
