@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,3 +89,43 @@ def region_shapes(labelled: DataFrame, affine: tuple[float, ...]) -> DataFrame:
         F.count("*").alias("pixels"), (F.count("*") * pixel).alias("area"), F.avg("x").alias("cx"), F.avg("y").alias("cy"),
         (F.min("x") - hx).alias("minx"), (F.min("y") - hy).alias("miny"), (F.max("x") + hx).alias("maxx"), (F.max("y") + hy).alias("maxy"),
     )
+
+
+def region_outlines(labelled: DataFrame, affine: tuple[float, ...]) -> DataFrame:
+    """(region, value, geometry): the polygon of each region in WKB, holes included.
+
+    Only the sides of pixels that border another region or none are gathered, so a task holds
+    a region's outline and not its pixels.
+    """
+    from boskage.functions import geometry
+
+    near = labelled.select("row", "col", F.col("region").alias("other"))
+    # each side of a pixel with the inside on its left, in columns and rows
+    sides = ((-1, 0, (1, 0, 0, 0)), (1, 0, (0, 1, 1, 1)), (0, -1, (0, 0, 0, 1)), (0, 1, (1, 1, 1, 0)))
+    around = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), *(F.lit(v).alias(n) for v, n in zip(at, ("x1", "y1", "x2", "y2")))) for dr, dc, at in sides])
+    on = labelled.select("row", "col", "value", "region", F.explode(around).alias("s"))
+    beside = on.select((F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), "region", "value", *(
+        (F.col("col" if n[0] == "x" else "row") + F.col(f"s.{n}")).cast("double").alias(n) for n in ("x1", "y1", "x2", "y2")
+    ))
+    edges = beside.join(near, ["row", "col"], "left").where("other is null or other != region").select("region", "value", "x1", "y1", "x2", "y2")
+    a, b, c, d, e, f = affine
+    flip = a * e - b * d > 0
+
+    def trace(part: pd.DataFrame) -> pd.DataFrame:
+        xy = part[["x1", "y1", "x2", "y2"]].to_numpy(float)
+        parts = geometry._rings(xy[:, [2, 3, 0, 1]])
+        made = []
+        for rings in parts:
+            own = []
+            for r in rings:
+                turn = np.roll(r, -1, 0) - r
+                corner = (np.roll(turn, 1, 0) != turn).any(1)
+                r = r[corner]
+                world = np.column_stack([a * r[:, 0] + b * r[:, 1] + c, d * r[:, 0] + e * r[:, 1] + f])
+                own.append(world if flip else world[::-1])
+            made.append(own)
+        wkb = geometry.write_wkb(made, geometry.POLYGON if len(made) == 1 else geometry.MULTIPOLYGON)
+        return pd.DataFrame({"region": part.region.iloc[:1], "value": part.value.iloc[:1], "geometry": [wkb]})
+
+    kind = labelled.schema["value"].dataType.simpleString()
+    return edges.groupBy("region", "value").applyInPandas(trace, f"region bigint, value {kind}, geometry binary")

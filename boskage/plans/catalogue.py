@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from boskage.plans import analysis_queries, experiment_queries, preparation, relational_queries
+from boskage.plans import analysis_queries, experiment_queries, geometry_queries, preparation, relational_queries
 
-MODULES = [preparation, relational_queries, analysis_queries, experiment_queries]
+MODULES = [preparation, relational_queries, analysis_queries, experiment_queries, geometry_queries]
 
 
 def queries() -> dict:
