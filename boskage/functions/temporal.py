@@ -69,6 +69,8 @@ def mean_gap_days(start_a: Column, end_a: Column, start_b: Column, end_b: Column
     return (F.abs(F.datediff(start_a, start_b)) + F.abs(F.datediff(end_a, end_b))) / 2.0
 
 
-def add_noise(ts: Column, sigma_days: float, seed: int) -> Column:
-    """The day of a date moved by a normal number of days; the same seed moves both ends alike."""
-    return F.date_add(F.to_date(ts), F.floor(F.randn(seed) * sigma_days).cast("int"))
+def add_noise(ts: Column, sigma_days: float, seed: int, key: Column) -> Column:
+    """The day of a date moved by a normal number of days of a key and a seed, whatever the partitioning; the same key moves both ends alike."""
+    from boskage.operators.experiments import normal
+
+    return F.date_add(F.to_date(ts), F.floor(normal(key, seed) * sigma_days).cast("int"))

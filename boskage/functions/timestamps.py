@@ -5,8 +5,9 @@ their components.  A value is matched once; the components of the branch that ma
 checked against the calendar and put together by integer day arithmetic.  A zone or offset
 in the value counts, else the zone given with it.  Local times that occur twice are their
 first occurrence, skipped ones move on by the length of the skip.  Digits beyond
-microseconds are cut off.  Words, impossible dates, clock times beyond 23:59:59, local
-values without a known zone and yearless values without a year denote nothing.
+microseconds are cut off.  Words, impossible dates, clock times beyond 23:59:59 (hour 24 and
+leap seconds too), weeks and days of the year, local values without a known zone and yearless
+values without a year denote nothing.
 """
 
 from __future__ import annotations
@@ -133,7 +134,8 @@ def instant(text: str | None, year: float | None, zone: str | None, order: str |
     fraction = int(((get("f") or "") + "000000")[:6])
     if kind == "epoch":
         number, scale = int(get("n")), {13: 1_000, 16: 1_000_000, 19: 1_000_000_000}.get(len(get("n")), 1)
-        return number // 1000 if scale == 1_000_000_000 else number * (1_000_000 // scale) + (fraction if scale == 1 else 0)
+        past = -1 if get("n")[0] == "-" else 1  # only counts of seconds may be negative
+        return number // 1000 if scale == 1_000_000_000 else number * (1_000_000 // scale) + (past * fraction if scale == 1 else 0)
     y = get("y")
     if y is not None:
         y = int(y) + (2000 if len(y) == 2 else 0)
@@ -203,9 +205,10 @@ def normalise_instants(df: DataFrame, key: str, fields: list[str], year: str, zo
         src = src.where(~plain_day(F.col("v")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(maxsize=50_000)(instant)
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(2, 6)]
-            found = [instant(*row) for row in zip(*columns)]
+            found = [known(*row) for row in zip(*columns)]
             keep = pa.array(np.flatnonzero([x is not None for x in found]))
             own = batch.take(keep)
             yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([x for x in found if x is not None], pa.int64())], names=[key, "field_name", "utc_us"])

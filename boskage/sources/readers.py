@@ -10,7 +10,6 @@ import io
 import re
 import sqlite3
 import struct
-import tempfile
 import zipfile
 import zlib
 from collections.abc import Iterator
@@ -81,18 +80,16 @@ def read_gpkg(spark: SparkSession, path: str, schema: str, geometry: str = "geom
     wanted = [f.name for f in spark.createDataFrame([], schema).schema]
 
     def read(path: str, content: bytes) -> Iterator[pd.DataFrame]:
-        with tempfile.NamedTemporaryFile(suffix=".gpkg") as local:  # SQLite needs a file of its own; gone when read
-            local.write(content)
-            local.flush()
-            db = sqlite3.connect(local.name)
-            try:
-                for name, column in db.execute("select table_name, column_name from gpkg_geometry_columns").fetchall():
-                    df = pd.read_sql_query(f'select * from "{name}"', db)
-                    out = pd.DataFrame({c: df[c] if c in df else None for c in wanted}, index=df.index)
-                    out["geometry"] = [strip_gpkg(b) for b in df[column]]
-                    yield out
-            finally:
-                db.close()
+        db = sqlite3.connect(":memory:")
+        try:
+            db.deserialize(content)
+            for name, column in db.execute("select table_name, column_name from gpkg_geometry_columns").fetchall():
+                df = pd.read_sql_query(f'select * from "{name}"', db)
+                out = pd.DataFrame({c: df[c] if c in df else None for c in wanted}, index=df.index)
+                out["geometry"] = [strip_gpkg(b) for b in df[column]]
+                yield out
+        finally:
+            db.close()
 
     return _per_file(_files(spark, path, "*.gpkg"), f"{schema}, geometry binary", read)
 

@@ -18,7 +18,7 @@ def append_ledger(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ";") -> None:
-    df.write.mode("overwrite").csv(path, sep=sep, header=True)
+    repaired(df).write.mode("overwrite").csv(path, sep=sep, header=True)
 
 
 def memoised(df: DataFrame, path: str) -> DataFrame:
@@ -39,8 +39,37 @@ def markdown(df: DataFrame, most: int = 1000) -> str:
 
 
 def write_gml(edges: DataFrame, path: str) -> None:
-    """The edges of a graph as entries in Graph Modelling Language, one file per partition, without the frame around them."""
+    """The edges (src, dst, weight) of a graph in Graph Modelling Language: one file per partition, each a graph with its own nodes."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        yield pa.RecordBatch.from_pydict({"value": ["graph ["]})
+        for batch in batches:
+            lines = []
+            for a, b, w in zip(*(c.to_pylist() for c in batch.columns)):
+                for n in (a, b):
+                    if n not in seen:
+                        seen.add(n)
+                        lines.append(f'  node [\n    id {n}\n    label "{n}"\n  ]')
+                lines.append(f"  edge [\n    source {a}\n    target {b}\n    weight {w!r}\n  ]")
+            yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+        yield pa.RecordBatch.from_pydict({"value": ["]"]})
+
+    typed = edges.selectExpr("cast(src as bigint) src", "cast(dst as bigint) dst", "cast(weight as double) weight").where("src is not null and dst is not null")
+    typed.mapInArrow(run, "value string").write.mode("overwrite").text(path)
+
+
+def repaired(df: DataFrame) -> DataFrame:
+    """Columns that text formats can't hold as text: structures and lists as JSON, bytes as hexadecimal digits."""
     from pyspark.sql import functions as F
 
-    line = F.format_string("  edge [\n    source %d\n    target %d\n    weight %s\n  ]", "src", "dst", F.col("weight").cast("string"))
-    edges.select(line.alias("value")).write.mode("overwrite").text(path)
+    def plain(f):
+        kind = f.dataType.simpleString()
+        if kind == "binary":
+            return F.hex(f.name).alias(f.name)
+        return F.to_json(f.name).alias(f.name) if kind.startswith(("array", "map", "struct")) else F.col(f"`{f.name}`")
+
+    return df.select(*map(plain, df.schema))

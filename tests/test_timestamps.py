@@ -94,3 +94,9 @@ def test_operator(spark):
     assert got == sorted([(1, "e", us("2015-04-03 10:00:00"))] + [(3, "e", us("2004-01-01 00:00:00")), (3, "s", 1074568450000000)] * 2)
     assert normalise_instants(df.limit(0), "id", ["s", "e"], "year", "z", "o").count() == 0
     assert normalise_instants(df, "id", ["s"], "year", "z", "o", plain_days=True).count() == 3
+
+
+def test_negative_counts_take_their_fraction_along():
+    assert instant("-1234567890.5", None, None, None) == -1_234_567_890_500_000
+    assert instant("1234567890.5", None, None, None) == 1_234_567_890_500_000
+    assert instant("2020-01-01 24:00:00Z", None, None, None) is instant("2020-W05-1", None, None, None) is None
