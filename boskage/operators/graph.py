@@ -233,6 +233,7 @@ def louvain(edges: DataFrame, vertices: DataFrame | None = None, resolution: flo
         e = stable(e)
         e = e.withColumn("total", F.lit(float(e.agg(F.sum("weight")).first()[0] or 1.0)))
     e = stable(e)
+    tasks = max(e.sparkSession.sparkContext.defaultParallelism, -(-e.count() // 100_000))
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         ids, flat = np.unique(np.concatenate([part.src, part.dst]), return_inverse=True)
@@ -244,7 +245,8 @@ def louvain(edges: DataFrame, vertices: DataFrame | None = None, resolution: flo
 
     def by_component(graph: DataFrame, labels: DataFrame) -> DataFrame:
         parts = graph.join(labels, graph.src == labels.uid).select("component", "src", "dst", "weight", "total")
-        return parts.groupBy("component").applyInPandas(solve, "uid bigint, community bigint")
+        # edges are few bytes but the work on them isn't little, so tasks don't follow the bytes
+        return parts.repartition(tasks, "component").groupBy("component").applyInPandas(solve, "uid bigint, community bigint")
 
     labels = stable(components(e))
     sizes = e.join(labels, e.src == labels.uid).groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > most_edges)
