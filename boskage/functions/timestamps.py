@@ -28,22 +28,22 @@ MONTHS = {
     name: number
     for number, names in enumerate(
         (
-            "janvier janv jan january",
-            "fevrier fevr fev february feb",
-            "mars mar march",
-            "avril avr april apr",
-            "mai may",
-            "juin june jun",
-            "juillet juil july jul",
-            "aout august aug",
-            "septembre sept september sep",
-            "octobre oct october",
-            "novembre nov november",
-            "decembre dec december",
+            ("janvier", "janv", "jan", "january"),
+            ("fevrier", "fevr", "fev", "february", "feb"),
+            ("mars", "mar", "march"),
+            ("avril", "avr", "april", "apr"),
+            ("mai", "may"),
+            ("juin", "june", "jun"),
+            ("juillet", "juil", "july", "jul"),
+            ("aout", "august", "aug"),
+            ("septembre", "sept", "september", "sep"),
+            ("octobre", "oct", "october"),
+            ("novembre", "nov", "november"),
+            ("decembre", "dec", "december"),
         ),
         1,
     )
-    for name in names.split()
+    for name in names
 }
 # Hours east of Greenwich of zone abbreviations.
 ABBREVIATIONS = {

@@ -210,11 +210,7 @@ def near_locations(left: DataFrame, right: DataFrame, radius: float, metric: str
 
     homes = at_home.where("a = 1").select("x", "y", "cell")
     copies = places.where("b = 1").select("x", "y").mapInArrow(copy, "x double, y double, cell int")
-    large = sizes[(sizes.a > part) | (sizes.b > part)]
-    parts, slices = (_divisions(large, c, part) for c in ("a", "b"))
-    h = F.xxhash64("x", "y", F.lit(7))
-    homes = homes.withColumns({"part": F.pmod(h, parts).cast("int"), "slice": F.explode(F.sequence(F.lit(0), slices - 1))})
-    copies = copies.withColumns({"slice": F.pmod(h, slices).cast("int"), "part": F.explode(F.sequence(F.lit(0), parts - 1))})
+    homes, copies = (_divided(side, sizes, part, own) for side, own in ((homes, "part"), (copies, "slice")))
 
     def join(own: pa.Table, asked: pa.Table) -> pa.Table:
         x, y, qx, qy = (t.column(c).to_numpy() for t in (own, asked) for c in ("x", "y"))
@@ -228,10 +224,22 @@ def near_locations(left: DataFrame, right: DataFrame, radius: float, metric: str
     return next(grouped).cogroup(next(grouped)).applyInArrow(join, "ax double, ay double, bx double, by double")
 
 
-def _divisions(large, column: str, part: int):
-    """Into how many parts each cell is divided, as a column of its number; only divided cells are listed."""
-    listed = [F.lit(int(v)) for c, n in zip(large.cell, large[column]) if n > part for v in (c, -(-n // part))]
-    return F.coalesce(F.element_at(F.create_map(*listed), F.col("cell")), F.lit(1)) if listed else F.lit(1)
+def _divided(side: DataFrame, sizes, most: int, own: str) -> DataFrame:
+    """A side with the part and slice of each row: its ``own`` by hash, and all of the other.
+
+    Cells with more than ``most`` locations have several parts, those with more queries several
+    slices; at most as many cells are listed as there are pivots.
+    """
+    large = sizes[(sizes.a > most) | (sizes.b > most)]
+    rows = [(int(c), int(-(-a // most)), int(-(-b // most))) for c, a, b in zip(large.cell, large.a, large.b)]
+    if not rows:
+        return side.withColumns({"part": F.lit(0), "slice": F.lit(0)})
+    listed = side.sparkSession.createDataFrame(rows, "cell int, parts int, slices int")
+    on = side.join(F.broadcast(listed), "cell", "left")
+    count = {k: F.greatest(F.lit(1), F.coalesce(f"{k}s", F.lit(1))) for k in ("part", "slice")}
+    h = F.pmod(F.xxhash64("x", "y", F.lit(7)), count[own]).cast("int")
+    other = "slice" if own == "part" else "part"
+    return on.withColumns({own: h, other: F.explode(F.sequence(F.lit(0), count[other] - 1))}).select("x", "y", "cell", "part", "slice")
 
 
 def located(df: DataFrame, key: str, geometry: str, side: str) -> DataFrame:

@@ -33,13 +33,19 @@ FOREST_TYPES = {
 
 # Words of English tree names that tell the tree type, in the order they are tried.
 TREE_WORDS = {
-    "Broadleaf": (
-        "Alder Almond Apple Apricot Ash Aspen Beech Birch Blackthorn Boxwood Buckthorn Caria Carob Catalpa Cherry Chestnut Dogwood Elder Elm Hackberry Hawthorn "
-        "Hazel Heath Heaven Holly Hornbeam Laburnum Laurel Lebanon Lime Locust Maple Mimosa Mulberry Oak Oleaster Olive Orange Paulownia Pear Persimmon Pistachio "
-        "Plane Plum Poplar Provence Quince Rowan Serviceberry Spindle Sumac Sweetgum Tamarisk Tree Walnut Willow anagyroides leaves Broadleaf"
-    ).split(),
-    "Conifer": "Arborvitae Cedar Cryptomeria Cypress Fir Hemlock Juniper Larch Pine Sequoia Spruce Yew Conifers".split(),
-    "Mixed": "hybrids Hybrids Mixed".split(),
+    "Broadleaf": [
+        "Alder", "Almond", "Apple", "Apricot", "Ash", "Aspen", "Beech", "Birch", "Blackthorn", "Boxwood", "Buckthorn", "Caria", "Carob", "Catalpa",
+        "Cherry", "Chestnut", "Dogwood", "Elder", "Elm", "Hackberry", "Hawthorn", "Hazel", "Heath", "Heaven", "Holly", "Hornbeam", "Laburnum",
+        "Laurel", "Lebanon", "Lime", "Locust", "Maple", "Mimosa", "Mulberry", "Oak", "Oleaster", "Olive", "Orange", "Paulownia", "Pear", "Persimmon",
+        "Pistachio", "Plane", "Plum", "Poplar", "Provence", "Quince", "Rowan", "Serviceberry", "Spindle", "Sumac", "Sweetgum", "Tamarisk", "Tree",
+        "Walnut", "Willow", "anagyroides", "leaves", "Broadleaf",
+    ],
+    "Conifer": [
+        "Arborvitae", "Cedar", "Cryptomeria", "Cypress", "Fir", "Hemlock", "Juniper", "Larch", "Pine", "Sequoia", "Spruce", "Yew", "Conifers",
+    ],
+    "Mixed": [
+        "hybrids", "Hybrids", "Mixed",
+    ],
 }
 
 # Tree types and English names of the species groups of the historical records.
