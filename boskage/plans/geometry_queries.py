@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from boskage.config import ACCURACY, BUFFER_M, COMPATIBLE, TEMPORAL_BUFFER_YEARS
 from boskage.functions import geometry, profiles
-from boskage.operators import cluster, extent, overlay, raster, spatial_join
+from boskage.operators import cluster, extent, graph, overlay, raster, spatial_join
 from boskage.operators.proximity import located, near_locations
 from boskage.plans import attribution, preprocess
-from boskage.plans.analysis_queries import _AFFINE, _COMPONENTS, _PAIRS, BOX, SHAPE, _near, _near_sql, date_gap
+from boskage.plans.analysis_queries import _AFFINE, _COMPONENTS, _EDGES, _PAIRS, BOX, SHAPE, _near, _near_sql, date_gap
 from boskage.plans.carriers import EVENTS_SQL, PIXELS_SQL, events, gaps_sql, pixels
-from boskage.plans.experiment_queries import PERIOD_SQL, profile_sql
+from boskage.plans.experiment_queries import _BY, CELLS_SQL, PERIOD_SQL, profile_sql
 from boskage.plans.preparation import RADIUS_M, dataset_key
 from boskage.plans.registry import Registry
 from boskage.session import stable, table
@@ -171,6 +171,24 @@ def _(s, d):
     return extent.temporal_period(e, "g").withColumn("threshold", F.round("threshold", 6)).where("threshold > 0.7")
 
 
+_TIED = f"{_EDGES}, {_COMPONENTS.format(e='e')}, ev2 as (select ev.*, c g from ev join grown on u = uid where class <> 'unknown')"
+_OF_TIED = [sql.replace("with ", "with recursive ", 1).replace(_BY, _TIED) for sql in (PERIOD_SQL, CELLS_SQL)]
+
+
+@R.query(
+    "cluster_periods_c8",
+    f"with recursive {EVENTS_SQL}, {_TIED}, n as (select g, count(*) members, count(distinct dataset) sources from ev2 group by 1) select g, members, sources, left_us, right_us, a.threshold temporal_threshold, b.threshold spatial_threshold from n join ({_OF_TIED[0]}) a using (g) join ({_OF_TIED[1]}) b using (g)",
+)
+def _(s, d):
+    e = stable(events(s, d).where("uid is not null"))
+    found = graph.components(attribution.weighted_edges(e)).select("uid", F.col("component").alias("g"))
+    members = stable(e.where("class != 'unknown'").join(found, "uid"))
+    period = extent.temporal_period(members, "g").withColumn("temporal_threshold", F.round("threshold", 6)).drop("threshold")
+    cells = extent.footprint_cells(members, "g").select("g", F.round("threshold", 6).alias("spatial_threshold"))
+    n = members.groupBy("g").agg(F.count("*").alias("members"), F.count_distinct("dataset").alias("sources"))
+    return n.join(period, "g").join(cells, "g")
+
+
 @R.query("noise_share_v6", f"with recursive st as (select src, dst from edges where 1 - ws <= 0.5), {_COMPONENTS.format(e='st')}, v as (select src u from edges union select dst from edges), l as (select v.u, coalesce(c, -1) label from v left join grown using (u)) select g.class, count(*) n, sum(case when label = -1 then 1 else 0 end)::bigint noise, round(avg(case when label = -1 then 1.0 else 0.0 end), 6) noise_share from l join group_sample g on g.row_id = l.u group by 1")
 def _(s, d):
     e = table(s, d, "edges")
