@@ -80,11 +80,24 @@ def spatial_grid(members: DataFrame, group: str, size: int = 30) -> DataFrame:
     return on.select(group, "i", "j", at("ox", "i").alias("gx"), at("oy", "j").alias("gy"))
 
 
+#: Different members of a group that meet its grid in one slice.
+SLICE = 2_000
+
+
 def spatial_profile(members: DataFrame, group: str, size: int = 30) -> DataFrame:
-    """(group, i, j, gx, gy, v): the members' mean spatial profile on the grid."""
-    on = spatial_grid(members, group, size).join(members.select(group, "cx", "cy", "dataset", "class"), group)
+    """(group, i, j, gx, gy, v): the members' mean spatial profile on the grid.
+
+    Members that share place, source and class have one profile and are counted; those of a
+    large group meet copies of its grid in slices, so no group is one task's.
+    """
+    alike = members.groupBy(group, "cx", "cy", "dataset", "class").agg(F.count("*").alias("_n"))
+    slices = alike.groupBy(group).agg(F.ceil(F.count("*") / SLICE).cast("int").alias("_slices"))
+    own = alike.join(slices, group).withColumn("_slice", F.pmod(F.xxhash64("cx", "cy"), F.col("_slices")).cast("int")).drop("_slices")
+    grid = spatial_grid(members, group, size).join(slices, group).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+    on = grid.join(own, [group, "_slice"])
     x = F.sqrt(F.pow(F.col("gx") - F.col("cx"), 2) + F.pow(F.col("gy") - F.col("cy"), 2))
-    return on.withColumn("x", x).groupBy(group, "i", "j", "gx", "gy").agg(F.avg(profile_of(F.col("x"), F.col("dataset"), F.col("class"), "spatial")).alias("v"))
+    v = profile_of(F.col("x"), F.col("dataset"), F.col("class"), "spatial")
+    return on.withColumn("x", x).groupBy(group, "i", "j", "gx", "gy").agg((F.sum(v * F.col("_n")) / F.sum("_n")).alias("v"))
 
 
 def footprint_cells(members: DataFrame, group: str, size: int = 30) -> DataFrame:

@@ -18,6 +18,7 @@ def build(master: str = "local[*]", app: str = "boskage", partitions: int = 8) -
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("BOSKAGE_DRIVER_MEMORY", "8g"))
         .getOrCreate()
