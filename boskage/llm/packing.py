@@ -163,8 +163,9 @@ def pack(items: DataFrame, containers: DataFrame, item: str, size: str, containe
         })
 
     out = f"`{container}` {kc}, `{item}` {ki}, bin_id bigint, part int, n_parts int, tokens bigint"
-    # a fixed number of partitions: sizes are small but packing is not, so few bytes must not become few tasks
-    tasks = min(shards * MOST_CONTAINERS, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # sizes are few bytes but packing isn't little work, so tasks follow the shards: a few for each task, at least two for each core
+    packs = shards * len(listed)
+    tasks = min(packs, max(2 * items.sparkSession.sparkContext.defaultParallelism, -(-packs // 8)))
     return spread.repartition(max(tasks, 1), "c", "shard").groupBy("c", "shard").applyInPandas(fill, out)
 
 
